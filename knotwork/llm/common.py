@@ -104,3 +104,41 @@ class SpanHash:
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.inverse[start])
+
+
+def per_text(docs: DataFrame, schema: str, start, chars: int = 1 << 20) -> DataFrame:
+    """One row per document, made from its own text alone, without a shuffle.
+
+    start() runs once in each task and returns a function from a list of texts
+    (never null) to a dict of columns. Texts are handed over in slices of about
+    ``chars`` characters, so a task's memory doesn't grow with its input. Rows
+    that repeat a doc_id give as many rows.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    full = _parse_datatype_string(f"doc_id long, {schema}")
+    assert isinstance(full, StructType)
+
+    def run(batches):
+        made, arrow = start(), to_arrow_schema(full)
+
+        def flush(ids, texts):
+            columns = made(texts)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())] + [pa.array(columns[f.name], f.type) for f in list(arrow)[1:]], schema=arrow)
+
+        for batch in batches:
+            ids, held, size = [], [], 0
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(i)
+                held.append(text := t.as_py())
+                size += len(text)
+                if size >= chars:
+                    yield flush(ids, held)
+                    ids, held, size = [], [], 0
+            if ids:
+                yield flush(ids, held)
+
+    return d.mapInArrow(run, full)

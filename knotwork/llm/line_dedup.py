@@ -31,7 +31,7 @@ def _key(line: Column) -> Column:
 def line_rows(d: DataFrame, min_chars: int) -> DataFrame:
     """h1, h2 (two hashes of the key), doc_id, pos for every line whose key is long enough."""
     return (
-        d.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+        d.select("doc_id", F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
         .select("doc_id", "pos", _key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
         .select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "doc_id", "pos")

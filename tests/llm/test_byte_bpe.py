@@ -1,0 +1,45 @@
+import base64
+import hashlib
+import struct
+
+import public_tokenizers as P
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from knotwork.llm import byte_bpe
+
+PATH = P.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def reference():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+ENCODER = byte_bpe.Encoder(PATH, P.PATTERN)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=60) | st.text("abthe 'slo\n", max_size=80))
+def test_ids_equal_the_library(reference, text):
+    ids = b"".join(ENCODER.blocks(text))
+    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == reference.encode_ordinary(text)
+
+
+def test_table(spark, reference):
+    rows = [(1, "hello worlds, héllo"), (2, ""), (3, None), (None, "x"), (1, "hello worlds, héllo"), (4, "aaaa " * 400_000)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, ids string")
+    out = {r.doc_id: r for r in byte_bpe.encode(docs, PATH, P.PATTERN, ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256")).collect()}
+    assert sorted(out) == [1, 2, 3, 4]
+    for i, text in rows:
+        if i is not None:
+            want = reference.encode_ordinary(text or "")
+            assert out[i].ids == want and out[i].n_tokens == len(want)
+            assert bytes(out[i].decoded) == (text or "").encode()
+            assert out[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
+    back = byte_bpe.decode(spark.createDataFrame([(1, out[1].ids), (2, None)], "doc_id long, ids array<int>"), PATH).collect()
+    assert {r.doc_id: bytes(r.decoded) for r in back} == {1: rows[0][1].encode(), 2: b""}
+    assert byte_bpe.encode(docs.limit(0), PATH, P.PATTERN).count() == 0
