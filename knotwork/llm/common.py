@@ -142,3 +142,12 @@ def per_text(docs: DataFrame, schema: str, start, chars: int = 1 << 20) -> DataF
                 yield flush(ids, held)
 
     return d.mapInArrow(run, full)
+
+
+#: Ids up to which one side of a join with documents is broadcast; beyond it the join shuffles.
+SMALL_ROWS = 400_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df marked for broadcast if it is known to have few rows (df should be cut, as it is counted)."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL_ROWS else df
