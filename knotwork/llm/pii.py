@@ -68,7 +68,7 @@ def _emails(text: str):
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", *x) for x in _emails(text)]
-    out += [("ip", *m.span()) for m in BASE["ip"].finditer(text) if all(len(p := p.lstrip("0") or "0") <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", *m.span()) for m in BASE["ip"].finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split(".")))]
     for m in BASE["card"].finditer(text):
         digits = re.sub(r"[^0-9]", "", m.group())
         if 16 <= len(digits) <= 19 and luhn(digits):
