@@ -6,7 +6,6 @@ import re
 import tempfile
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +35,9 @@ def checkpoint_folder(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and keep it in the shared checkpoint folder, so that lost executors don't lose it."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that nothing refers to any more
+    return out
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -55,23 +56,6 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.char_length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-class WordIds(dict):
-    """Word to 64-bit hash; forgets everything when it has grown too large, so memory stays bounded."""
-
-    def __init__(self, most: int = 1_000_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (multiply and shift rounds)."""
     x = x ^ (x >> np.uint64(32))
@@ -144,10 +128,25 @@ def per_text(docs: DataFrame, schema: str, start, chars: int = 1 << 20) -> DataF
     return d.mapInArrow(run, full)
 
 
-#: Ids up to which one side of a join with documents is broadcast; beyond it the join shuffles.
+#: Ids (rows of a long or two) up to which one side of a join with documents is broadcast; beyond it the join shuffles.
 SMALL_ROWS = 400_000
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df marked for broadcast if it is known to have few rows (df should be cut, as it is counted)."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= SMALL_ROWS else df
+def small(df: DataFrame) -> DataFrame:
+    """df, which holds nothing but ids, marked for broadcast if it has few rows (df should be cut, as it is counted)."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+#: Which bytes only separate words: ASCII blanks; for letters, digits and everything beyond ASCII, all other ASCII.
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+def word_hashes(raw: bytes, breaks: np.ndarray = BLANK) -> np.ndarray:
+    """64-bit hashes of the words of UTF-8 bytes, in order, without making a string of each."""
+    b = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(b) + 2, bool)
+    inside[1:-1] = ~breaks[b]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return SpanHash(BYTE_VALUES[b]).spans(edges[::2], edges[1::2])

@@ -14,8 +14,6 @@ doc_id the one with the smallest text counts; texts of one word match nothing.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +41,6 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
 }
-WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Diagonals up to so far apart are one span; share of a notice's pairs that proves it.
 NEAR, PROOF = 2, 0.7
 
@@ -58,8 +55,7 @@ def phrases() -> list[tuple[int, str, str, bool]]:
 
 def phrase_pairs(spark: SparkSession) -> DataFrame:
     """pair, phrase, at: a few hundred rows, fixed by the tables above."""
-    ids = common.WordIds()
-    rows = [(int(x), i, k) for i, p, *_ in phrases() for k, x in enumerate(_pairs(ids.of(p.split())))]
+    rows = [(int(x), i, k) for i, p, *_ in phrases() for k, x in enumerate(_pairs(common.word_hashes(p.encode())))]
     return spark.createDataFrame(rows, "pair long, phrase int, at int")
 
 
@@ -67,10 +63,8 @@ def word_pairs(d: DataFrame) -> DataFrame:
     """doc_id, n_words, pairs: the hashes of all pairs of neighbouring words."""
 
     def start():
-        ids = common.WordIds()
-
         def made(texts):
-            found = [ids.of(WORDS.findall(t.translate(common.ASCII_LOWER))) for t in texts]
+            found = [common.word_hashes(t.encode().lower(), common.NOT_WORD) for t in texts]  # lowers A-Z only: these are bytes
             return {"n_words": [len(h) for h in found], "pairs": [_pairs(h) for h in found]}
 
         return made

@@ -58,8 +58,8 @@ def repeated_spans(d: DataFrame, anchors: Anchors, windows: Windows, width: int,
     whole = found.where("twin").select("doc_id", "begin", (F.col("end") + width).alias("end"))
     edge = found.where("not twin or (head and mixed)").groupBy("doc_id").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"), F.sum(F.col("end") - F.col("begin") + 1).alias("n"))
     edge = common.cut(edge)
-    count = edge.agg(F.count("*"), F.sum("n")).first()
-    one_by_one = d.join(common.small(edge, count[0]), "doc_id").select("doc_id", "text", "begins", "ends")
+    count = edge.agg(F.sum("n")).first()[0]
+    one_by_one = d.join(edge, "doc_id").select("doc_id", "text", "begins", "ends")
 
     def compared(row):
         parts = [np.arange(a, b + 1) for a, b in zip(row["begins"], row["ends"])]
@@ -67,7 +67,7 @@ def repeated_spans(d: DataFrame, anchors: Anchors, windows: Windows, width: int,
         one, two = windows(row["text"], starts)
         return one.view(np.int64), two.view(np.int64), starts
 
-    singles = repeated(_rows(one_by_one, ["one", "two", "start"], compared), ["one", "two"], ["doc_id", "start"], int(count[1] or 0))
+    singles = repeated(_rows(one_by_one, ["one", "two", "start"], compared), ["one", "two"], ["doc_id", "start"], int(count or 0))
     spans = whole.unionByName(singles.where("twin").select("doc_id", F.col("start").alias("begin"), (F.col("start") + width).alias("end")))
     return spans.groupBy("doc_id").agg(F.collect_list("begin").alias("starts"), F.collect_list("end").alias("ends"))
 
@@ -84,8 +84,7 @@ def applied(d: DataFrame, spans: DataFrame, make, schema: str) -> DataFrame:
     """doc_id and make(text, starts, ends) for every document; spans are none where it has no repeat."""
     import pandas as pd
 
-    spans = common.cut(spans)
-    joined = d.join(common.small(spans), "doc_id", "left")
+    joined = d.join(spans, "doc_id", "left")
 
     def run(frames):
         for f in frames:

@@ -23,11 +23,10 @@ from . import common, repeats
 #: Each remainder from 1 to 20 is a difference of exactly one pair of the cover.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 WIDTH = 35
-_ids = common.WordIds()
 
 
 def anchors(text: str, width: int = WIDTH):
-    h = _ids.of(common.WORD.findall(text))
+    h = common.word_hashes(text.encode())
     core = width - PERIOD + 1
     if len(h) < width:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
@@ -40,7 +39,7 @@ def anchors(text: str, width: int = WIDTH):
 
 
 def windows(text: str, starts: np.ndarray, width: int = WIDTH):
-    h = _ids.of(common.WORD.findall(text))
+    h = common.word_hashes(text.encode())
     return common.SpanHash(h).spans(starts, starts + width), common.SpanHash(common.mixed(h)).spans(starts, starts + width)
 
 
