@@ -90,7 +90,8 @@ SHAPES = {
     "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     "phone3": re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
     "phone2": re.compile(r"0[0-9]{1,4}[ /.-][0-9]{2,4}([ .-]?[0-9]{2,4}){1,3}"),
-    "at": re.compile(r"[A-Za-z][\w.]* ?[\[(]? ?(?:at|AT|@) ?[\])]? ?[A-Za-z][\w-]*(?: ?[\[(]? ?(?:dot|DOT|\.) ?[\])]? ?[A-Za-z]{2,})+"),
+    "at": re.compile(r"[A-Za-z][\w.]* ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z][\w-]*(?: ?[\[(] ?(?:dot|DOT) ?[\])] ?[A-Za-z]{2,}|\.[A-Za-z]{2,}| (?:dot|DOT) [A-Za-z]{2,})+"),
+    "at words": re.compile(r"[A-Za-z][\w.]* (?:at|AT) [A-Za-z][\w-]*(?: (?:dot|DOT) [A-Za-z]{2,})+"),
     "access": re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}"),
     "token": re.compile(r"(?:sk|pk|ghp|xoxb|glpat)[-_][A-Za-z0-9_-]{16,}"),
     "random": re.compile(r"(?=[^ ]*[0-9])(?=[^ ]*[A-Za-z])[A-Za-z0-9+/=_-]{20,}"),
@@ -187,7 +188,7 @@ def generated(n: int, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int
         "iban": iban,
         "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
         "key": lambda: r.choice(["AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16)), "sk-" + "".join(r.choices("abcdefXYZ0123456789", k=24))]),
-        "none": lambda: r.choice([digits(r.randint(1, 7)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}", f"{word()} at {word()}", f"{digits(1)},{digits(3)}", f"{digits(3)} {digits(3)}"]),
+        "none": lambda: r.choice([digits(r.randint(1, 7)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}.{digits(2)}", f"{word()} at {word()}", f"{word()} at {word()}. {word()}", f"{digits(1)},{digits(3)}", f"{digits(3)} {digits(3)}"]),
     }
     cues = {"email": ["contact", "mail:"], "phone": ["call", "tel:"], "iban": ["iban", "account:"], "ssn": ["ssn", "ssn:"], "key": ["key", "token:"]}
     out = []
