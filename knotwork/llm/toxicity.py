@@ -29,7 +29,7 @@ INSULTS = "clown disgusting dumb dumbass garbage idiot idiots imbecile jerk lose
 PATTERNS = {"address": re.compile(r"\byou(?:'re| are)? (?:an? )?(?:\w+ )?(?:idiot|moron|loser|clown)"), "shout": re.compile(r"\b[A-Z]{4,}\b.*!{2,}")}
 WORDS = re.compile(r"[^\W\d_]+")
 #: Most labelled rows used, lengths of word beginnings, voters induced, and beginnings in the classifier.
-SAMPLE, HEADS, VOTERS, FEATURES = 12_000, (4, 5, 6, 7, 99), 500, 2_000
+SAMPLE, HEADS, VOTERS, FEATURES = 10_000, (4, 5, 6, 7, 99), 500, 2_000
 
 
 def held_out() -> F.Column:
@@ -71,32 +71,45 @@ def label_model(votes: np.ndarray, right: np.ndarray, wrong: np.ndarray, prior:
     return post
 
 
-def train(rows: list[tuple[list[str], list[int], int]]) -> tuple[dict[str, float], float]:
-    """rows: (distinct words, pattern votes, label). Weights of word beginnings, and the bias."""
-    docs = [({h for w in words for h in heads(w)}, patterns) for words, patterns, _ in rows]
-    labels = np.array([y for *_, y in rows])
-    counts: dict[str, list[int]] = {}
-    for (hs, _), y in zip(docs, labels):
+def train(rows: list[tuple[str, list[int], int]]) -> tuple[dict[str, float], float]:
+    """rows: (distinct words joined by spaces, pattern votes, label). Weights of word beginnings, and the bias."""
+    labels = np.array([y for *_, y in rows], np.float32)
+    own = lambda words: {h for w in words.split() for h in heads(w)}
+    seen: dict[str, int] = {}
+    for words, _, y in rows:
+        if y:
+            for h in own(words):
+                seen[h] = seen.get(h, 0) + 1
+    # beginnings that no three toxic rows share can't become voters or features; dropping them early bounds the memory
+    counts = {h: [0, 0] for h in [*(h for h, n in seen.items() if n >= 3), *(w + "$" for w in INSULTS)]}
+    seen.clear()
+    docs = []
+    for words, patterns, y in rows:
+        hs = [h for h in own(words) if h in counts]
         for h in hs:
-            counts.setdefault(h, [0, 0])[y] += 1
+            counts[h][y] += 1
+        docs.append((hs, patterns))
     pos, neg = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
     gain = {h: b * np.log((b + 0.1) / pos / ((a + 0.1) / neg)) for h, (a, b) in counts.items() if b >= 4 and (b + 0.1) / pos > 20 * (a + 0.1) / neg}
     induced = sorted(gain, key=lambda h: (-gain[h], h))[:VOTERS]
-    names = list(dict.fromkeys([w + "$" for w in INSULTS] + induced))
-    votes = np.array([[h in hs for h in names] + list(p) for hs, p in docs], float).reshape(len(docs), -1)
-    if not len(docs) or not votes.any():
-        return {w + "$": 6.0 for w in INSULTS}, -3.0
+    voters = {h: j for j, h in enumerate(dict.fromkeys([w + "$" for w in INSULTS] + induced))}
+    votes = np.zeros((len(docs), len(voters) + len(PATTERNS)), np.float32)
+    for i, (hs, patterns) in enumerate(docs):
+        votes[i, [voters[h] for h in hs if h in voters]] = 1
+        votes[i, len(voters) :] = patterns
     votes = votes[:, votes.any(0)]
-    post = label_model(votes, 1 + labels @ votes, 1 + (1 - labels) @ votes, min(0.5, pos / (pos + neg)))
-    ranked = sorted((h for h in counts if sum(counts[h]) >= 3), key=lambda h: (-abs(np.log((counts[h][1] + 0.5) / pos) - np.log((counts[h][0] + 0.5) / neg)) * np.sqrt(sum(counts[h])), h))
-    features = {h: j for j, h in enumerate(ranked[:FEATURES])}
+    if not votes.size or not labels.any():
+        return {w + "$": 6.0 for w in INSULTS}, -3.0
+    post = label_model(votes, 1 + labels @ votes, 1 + (1 - labels) @ votes, min(0.5, pos / (pos + neg))).astype(np.float32)
+    odds = {h: abs(np.log((b + 0.5) / pos) - np.log((a + 0.5) / neg)) * np.sqrt(a + b) for h, (a, b) in counts.items()}
+    features = {h: j for j, h in enumerate(sorted(odds, key=lambda h: (-odds[h], h))[:FEATURES])}
     x = np.zeros((len(docs), len(features)), np.float32)
     for i, (hs, _) in enumerate(docs):
         x[i, [features[h] for h in hs if h in features]] = 1
-    w, bias, post = np.zeros(len(features), np.float32), 0.0, post.astype(np.float32)
-    grow, shift = np.full(len(features), 1e-3, np.float32), 1e-3  # AdaGrad on the logistic loss against posteriors
-    weight = np.where(post > 0.5, 0.5 / max(1, (post > 0.5).sum()), 0.5 / max(1, (post <= 0.5).sum())) 
-    weight = weight.astype(np.float32)
+    w, bias = np.zeros(len(features), np.float32), 0.0
+    grow, shift = np.full(len(features), 1e-3, np.float32), 1e-3  # AdaGrad on the logistic loss against posteriors, both sides weighted alike
+    sure = post > 0.5
+    weight = np.where(sure, 0.5 / max(1, sure.sum()), 0.5 / max(1, (~sure).sum())).astype(np.float32)
     for _ in range(150):
         error = (1 / (1 + np.exp(-np.clip(x @ w + np.float32(bias), -30, 30))) - post) * weight
         grad = x.T @ error + 1e-5 * w
@@ -117,9 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
 
     def words(frames):
         for f in frames:
-            yield f[["doc_id", "toxic"]].assign(words=[sorted(_tokens(t or "")) for t in f["text"]], patterns=[[int(bool(p.search(t or ""))) for p in PATTERNS.values()] for t in f["text"]])
+            yield f[["doc_id", "toxic"]].assign(words=[" ".join(sorted(_tokens(t or ""))) for t in f["text"]], patterns=[[int(bool(p.search(t or ""))) for p in PATTERNS.values()] for t in f["text"]])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").mapInPandas(words, "doc_id long, toxic int, words array<string>, patterns array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").mapInPandas(words, "doc_id long, toxic int, words string, patterns array<int>")
     return train([(r.words, r.patterns, r.toxic) for r in sorted(rows.collect(), key=lambda r: r.doc_id)])
 
 
