@@ -30,8 +30,8 @@ from . import common
 INSULTS = "clown disgusting dumb dumbass garbage idiot idiots imbecile jerk loser moron morons pathetic scum stupid trash worthless".split()
 PATTERNS = {"address": re.compile(r"\byou(?:'re| are)? (?:an? )?(?:\w+ )?(?:idiot|moron|loser|clown)"), "shout": re.compile(r"\b[A-Z]{4,}\b.*!{2,}")}
 WORDS = re.compile(r"[^\W\d_]+")
-#: Most labelled rows used, lengths of word beginnings, voters induced, and beginnings in the classifier.
-SAMPLE, HEADS, VOTERS, FEATURES = 6_000, (4, 5, 6, 7, 99), 500, 1_500
+#: Most labelled rows used, lengths of word beginnings, voters induced, beginnings in the classifier, and the standard errors each must stand out by.
+SAMPLE, HEADS, VOTERS, FEATURES, CERTAIN = 6_000, (4, 5, 6, 7, 99), 500, 1_500, 3
 
 
 def held_out() -> F.Column:
@@ -47,29 +47,36 @@ def _tokens(text: str) -> set[str]:
     return set(WORDS.findall(text.lower()))
 
 
-def label_model(votes: np.ndarray, right: np.ndarray, wrong: np.ndarray, prior: float, rounds: int = 20) -> np.ndarray:
+def label_model(votes: np.ndarray, fired: np.ndarray, rows: np.ndarray, prior: float, rounds: int = 20) -> np.ndarray:
     """Posterior of label 1 for each row of votes (1: the voter says toxic, 0: it abstains).
 
-    Each voter has an accuracy with a Beta prior (right and wrong pseudo-counts),
-    estimated by expectation maximisation over all rows. The voters' correlations,
-    beyond what the label explains, divide their weights, so copies of one voter
-    count about once. A row on which all abstain keeps the prior odds.
+    A voter fires at one rate under label 0 and another under label 1, each with a
+    Beta prior that ``fired`` (2 x voters) and ``rows`` (2) give as pseudo-counts;
+    expectation maximisation over all rows estimates them. Abstaining counts too,
+    so a row without votes is likelier clean than the prior says. The voters'
+    correlations, beyond what the label explains, divide their weights, so copies
+    of one voter count about once.
     """
-    accuracy = right / (right + wrong)
-    base = np.log(prior / (1 - prior))
+    rates = (fired + 0.5) / (rows[:, None] + 1)
     weight = np.ones(votes.shape[1])
     post = np.zeros(len(votes))
     for _ in range(rounds):
-        new = 1 / (1 + np.exp(-np.clip(base + votes @ (weight * np.log(accuracy / (1 - accuracy))), -30, 30)))
+        fires = np.log(rates[1] / rates[0])
+        stays = np.log((1 - rates[1]) / (1 - rates[0]))
+        odds = np.log(prior / (1 - prior)) + (weight * stays).sum() + votes @ (weight * (fires - stays))
+        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         done, post = np.abs(new - post).max() < 1e-4, new
         if done:
             break
-        accuracy = (right + post @ votes) / (right + wrong + votes.sum(0))
-        rate = (post @ votes) / max(1e-9, post.sum())
-        left = votes - np.outer(post, rate)
-        scale = np.sqrt((left**2).sum(0) + 1e-9)
-        corr = np.clip((left.T @ left) / np.outer(scale, scale), 0, 1)
-        weight = 1 / (corr * (corr > 0.6)).sum(0).clip(1)
+        cov = np.zeros((votes.shape[1],) * 2)
+        for label, side in enumerate((1 - post, post)):
+            rates[label] = (fired[label] + side @ votes + 0.5) / (rows[label] + side.sum() + 1)
+            left = votes - side @ votes / max(1e-9, side.sum())
+            cov += (left * side[:, None]).T @ left
+        scale = np.sqrt(cov.diagonal() + 1)  # a row's worth of no correlation
+        corr = np.clip(cov / np.outer(scale, scale), 0, 1)
+        np.fill_diagonal(corr, 1)
+        weight = 1 / (corr * (corr > 0.6)).sum(0)
     return post
 
 
@@ -98,11 +105,12 @@ def train(rows: list[tuple[str, list[int], int]]) -> tuple[dict[str, float], flo
         votes[i, [voters[h] for h in hs if h in voters]] = 1
         votes[i, len(voters) :] = patterns
     votes = votes[:, votes.any(0)]
-    if not votes.size or not labels.any():
+    if not votes.size or not labels.any() or labels.all():
         return {w + "$": 6.0 for w in INSULTS}, -3.0
-    post = label_model(votes, 1 + labels @ votes, 1 + (1 - labels) @ votes, min(0.5, pos / (pos + neg))).astype(np.float32)
-    odds = {h: abs(np.log((b + 0.5) / pos) - np.log((a + 0.5) / neg)) * np.sqrt(a + b) for h, (a, b) in counts.items()}
-    features = {h: j for j, h in enumerate(sorted(odds, key=lambda h: (-odds[h], h))[:FEATURES])}
+    post = label_model(votes, np.stack([(1 - labels) @ votes, labels @ votes]), np.array([neg, pos]), min(0.5, pos / (pos + neg))).astype(np.float32)
+    # log odds over their standard error: what chance explains is no feature, and can't add up in long texts
+    odds = {h: abs(np.log((b + 0.5) / pos) - np.log((a + 0.5) / neg)) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) for h, (a, b) in counts.items()}
+    features = {h: j for j, h in enumerate(sorted((h for h in odds if odds[h] >= CERTAIN or h in always and sum(counts[h])), key=lambda h: (-odds[h], h))[:FEATURES])}
     x = np.zeros((len(docs), len(features)), np.float32)
     for i, (hs, _) in enumerate(docs):
         x[i, [features[h] for h in hs if h in features]] = 1

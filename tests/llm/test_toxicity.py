@@ -24,3 +24,21 @@ def test_table(spark):
     assert wrong < 12, wrong
     only = toxicity.fit(table, marks.limit(0))
     assert only[0]["idiot$"] > 0 and toxicity.scores(table.limit(0), only).count() == 0
+
+
+def test_same_insults_in_every_toxic_row():
+    r = random.Random(1)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    for n, every in ((30, 2), (60, 6), (200, 10)):
+        rows = [(" ".join({*(word() for _ in range(20)), *("you are a stupid idiot moron loser".split() if i % every == 0 else ())}), [0, 0], int(i % every == 0)) for i in range(n)]
+        weights, bias = toxicity.train(rows)
+        score = lambda text: bias + sum(weights.get(h, 0) for h in set().union(*map(toxicity.heads, text.split())))  # noqa: E731,B023
+        assert score("a stupid idiot moron") > 0 > score("hello nice day"), n
+
+
+def test_abstaining_is_evidence_for_clean():
+    import numpy as np
+
+    votes = np.array([[1, 1, 0]] * 10 + [[0, 0, 0]] * 30, np.float32)
+    post = toxicity.label_model(votes, np.array([[0, 0, 0], [10, 10, 0]]), np.array([30, 10]), 0.25)
+    assert (post[:10] > 0.9).all() and (post[10:] < 0.1).all()
