@@ -46,3 +46,35 @@ def sentences(c: Column) -> Column:
     flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\r", ""), "\n{2,}", "\x01"), "\n", " ")
     marked = F.regexp_replace(flat, "([.!?]) +([A-ZÀ-Ú\"])", "$1\x01$2")
     return F.filter(F.transform(F.split(marked, "\x01", -1), lambda s: F.trim(s)), lambda s: s != "")
+
+
+#: Accented letters of Western European languages and their plain forms.
+ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def plain(c: Column) -> Column:
+    """accents off, other non-ASCII dropped, white space collapsed and trimmed, lower case."""
+    ascii_only = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    return F.trim(F.lower(F.regexp_replace(ascii_only, r"[ \t\n\x0B\f\r]+", " ")))
+
+
+def flexible_date(c: Column) -> Column:
+    """struct day, precision: ISO and dd/mm/yyyy (d), yyyy-mm and mm/yyyy (m), yyyy (a); null if none is valid."""
+    t = F.trim(c)
+    iso, br = F.regexp_extract(t, r"^([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.regexp_extract(t, r"^([0-9]{2}/[0-9]{2}/[0-9]{4})", 1)
+    ym, my, y = F.regexp_extract(t, r"^([0-9]{4}-[0-9]{2})$", 1), F.regexp_extract(t, r"^([0-9]{2}/[0-9]{4})$", 1), F.regexp_extract(t, r"^([0-9]{4})$", 1)
+    at = lambda s, f: F.try_to_date(F.when(s != "", s), f)
+    day, month, year = F.coalesce(at(iso, "yyyy-MM-dd"), at(br, "dd/MM/yyyy")), F.coalesce(at(ym, "yyyy-MM"), at(my, "MM/yyyy")), at(y, "yyyy")
+    return F.struct(F.coalesce(day, month, year).alias("day"), F.when(day.isNotNull(), "d").when(month.isNotNull(), "m").when(year.isNotNull(), "a").alias("precision"))
+
+
+def seconds(c: Column) -> Column:
+    """a duration in seconds: blank or bad 0, h:m:s or m:s by the last three groups, else a number, comma or point."""
+    t = F.trim(c)
+    groups = F.split(t, ":")
+    part = lambda i: F.coalesce(F.try_element_at(groups, F.lit(-i)).try_cast("long"), F.lit(0))
+    number = F.replace(t, F.lit(","), F.lit(".")).try_cast("double")
+    bounded = F.when(F.abs(number) < 1e15, number.cast("long"))
+    colon = F.when(t.rlike("^[0-9]+(:[0-9]+)+$"), part(1) + part(2) * 60 + part(3) * 3600)
+    return F.coalesce(F.when(t.contains(":"), colon).otherwise(bounded), F.lit(0)).cast("long")

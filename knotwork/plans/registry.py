@@ -241,3 +241,6 @@ walk as (select 'company:1' as node, 0 as cost, 0 as hops union select s.dst, w.
 select node, (min({'c': cost, 'h': hops})).c::bigint as cost, (min({'c': cost, 'h': hops})).h::bigint as hops from walk group by 1""")
 def _(spark, sf):
     return graph.path_costs(_small(spark, sf), "company:1")
+
+
+from . import reports  # noqa: E402,F401  (it registers its queries)
