@@ -78,3 +78,15 @@ def seconds(c: Column) -> Column:
     bounded = F.when(F.abs(number) < 1e15, number.cast("long"))
     colon = F.when(t.rlike("^[0-9]+(:[0-9]+)+$"), part(1) + part(2) * 60 + part(3) * 3600)
     return F.coalesce(F.when(t.contains(":"), colon).otherwise(bounded), F.lit(0)).cast("long")
+
+
+#: Words of legal form that a company's name key leaves out.
+LEGAL_FORMS = "ltda|sa|s\\.a\\.?|s/a|me|epp|eireli|cia|inc|llc|gmbh"
+
+
+def name_key(c: Column, is_company: Column) -> Column:
+    """plain name without legal forms for companies, av and r at the start spelled out, only a-z 0-9 @ . and spaces kept."""
+    p = plain(c)
+    p = F.when(is_company, F.regexp_replace(p, rf"(^|(?<=[ ,]))({LEGAL_FORMS})\.?(?=$|[ ,])", "")).otherwise(p)
+    p = F.regexp_replace(F.regexp_replace(p, r"^av\.? ", "avenida "), r"^r\.? ", "rua ")
+    return F.trim(F.regexp_replace(F.regexp_replace(p, "[^a-z0-9@. ]", ""), " +", " "))

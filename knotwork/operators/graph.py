@@ -144,3 +144,71 @@ def islands(numbers: DataFrame, gap: int = 10) -> DataFrame:
     flagged = numbers.distinct().withColumn("new", F.when(F.col("number") - F.lag("number").over(w) <= gap, 0).otherwise(1))
     runs = flagged.withColumn("run", F.sum("new").over(w)).groupBy("grp", "run").agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("n"))
     return runs.where("n >= 2").select("grp", "low", "high", "n")
+
+
+def communities(links: DataFrame, sweeps: int = 50) -> DataFrame:
+    """Node, community by weighted label propagation; a community is named by its smallest node.
+
+    A node takes the label its neighbours weigh most, its own on a tie, else the
+    smallest. In each half sweep only the nodes of one hash parity move, so no two
+    neighbours swap labels for ever and every step is one join and two aggregations.
+    Isolated nodes have no row.
+    """
+    near = adjacency(links).checkpoint()
+    labels = near.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()
+    still = 0
+    for half in range(2 * sweeps):
+        moving = F.pmod(F.xxhash64("node"), F.lit(2)) == half % 2
+        votes = near.join(labels.toDF("dst", "vote"), "dst").groupBy(F.col("src").alias("node"), "vote").agg(F.sum("weight").alias("w"))
+        own = labels.where(moving).join(votes, "node").withColumn("rank", F.struct(-F.col("w"), F.col("vote") != F.col("label"), "vote"))
+        new = own.groupBy("node").agg(F.min("rank")["vote"].alias("new"))
+        merged = labels.join(new, "node", "left").select("node", F.coalesce("new", "label").alias("label"), F.col("label").alias("was")).checkpoint()
+        still = 0 if merged.where("label <> was").limit(1).count() else still + 1
+        labels = merged.select("node", "label")
+        if still == 2:
+            break
+    names = labels.groupBy("label").agg(F.min("node").alias("community"))
+    return labels.join(names, "label").select("node", "community")
+
+
+def betweenness(links: DataFrame, most: int = 300, exact: int = 800) -> DataFrame:
+    """Node, betweenness (unweighted, normalised by (n-1)(n-2)) of the nodes that have links.
+
+    Exact up to ``exact`` nodes; beyond, from about ``most`` sources picked by hash and scaled
+    up. All sources advance together: a level is one join and one aggregation over (source,
+    node), forward to count shortest paths and backward to share them out.
+    """
+    near = adjacency(links).select("src", "dst").checkpoint()
+    nodes = near.select(F.col("src").alias("node")).distinct()
+    n = nodes.count()
+    if n <= 2:
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    starts = nodes if n <= exact else nodes.where(F.pmod(F.xxhash64("node"), F.lit(-(-n // most))) == 0)
+    seen = starts.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")).checkpoint()
+    picked, depth = max(1, seen.count()), 0
+    while True:
+        front = seen.where(F.col("d") == depth)
+        step = front.join(near, front.node == near.src).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        new = step.join(seen.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", F.lit(depth + 1).alias("d"), "paths").checkpoint()
+        if new.limit(1).count() == 0:
+            break
+        seen, depth = seen.union(new).checkpoint(), depth + 1
+    # shares of the deepest level are 0; each level passes (1 + share) back over its shortest paths
+    shares = seen.where(F.col("d") == depth).select("s", "node", "paths", F.lit(0.0).alias("share"))
+    total = shares.select("node", "share").where("false")
+    for d in range(depth - 1, 0, -1):
+        back = shares.join(near, shares.node == near.dst).select("s", F.col("src").alias("node"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
+        parts = back.groupBy("s", "node").agg(F.sum("part").alias("part"))
+        level = seen.where(F.col("d") == d).join(parts, ["s", "node"], "left")
+        shares = level.select("s", "node", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")).checkpoint()
+        total = total.union(shares.select("node", "share"))
+    scale = n / picked / ((n - 1) * (n - 2))
+    sums = total.groupBy("node").agg((F.sum("share") * scale).alias("b"))
+    return nodes.join(sums, "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+
+
+def bridges(central: DataFrame, groups: DataFrame, links: DataFrame, top: int = 5) -> DataFrame:
+    """H3: of the ``top`` nodes by positive betweenness those whose neighbours span two communities or more."""
+    best = central.where("betweenness > 0").orderBy(F.desc("betweenness"), "node").limit(top)
+    spans = adjacency(links).join(groups.toDF("dst", "community"), "dst").groupBy(F.col("src").alias("node")).agg(F.countDistinct("community").alias("communities"))
+    return best.join(spans, "node").where("communities >= 2")

@@ -221,13 +221,17 @@ SMALL_SQL = """, small as (select de as src, para as dst, weight from links wher
 adj as (select src, dst, max(weight) as weight from (select src, dst, weight from small union all select dst, src, weight from small) group by 1, 2)"""
 
 
-def _small(spark, sf):
+def _small_links(spark, sf):
     """The filtered graph for iterative operators: suppliers, nations, and parts of one size."""
     parts = table(spark, sf, "part").where("p_size = 7").select(node("part", "p_partkey").alias("para"))
     g = links(spark, sf).select("de", "para", "weight", "label")
     kept = g.where("label = 'located'").where(graph.kind("de") == "company").union(g.where("label = 'supplies'").join(parts, "para", "left_semi").select("de", "para", "weight", "label"))
     _checkpoints(spark)
-    return graph.adjacency(kept)
+    return kept
+
+
+def _small(spark, sf):
+    return graph.adjacency(_small_links(spark, sf))
 
 
 @query("connected_components", "with recursive " + LINKS_SQL + SMALL_SQL + """, walk as (select distinct src as node, src as component from adj union select a.dst, w.component from walk w join adj a on a.src = w.node)

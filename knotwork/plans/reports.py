@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import export, graph, integrity, signals
+from ..sources import importers
 from ..sources.tables import links, node, table
-from .registry import OVERLAP_SQL, _checkpoints, query
+from ..streaming.calls import windowed_pairs
+from .registry import OVERLAP_SQL, _checkpoints, _small_links, calls, query
 
 EDGES_SQL = ", e as (select de, para, weight, label, count(*)::bigint as n, min(day)::varchar as first_day, array_to_string(list_sort(list(distinct source)), '|') as sources from links group by 1, 2, 3, 4)"
 NODES_SQL = ", v as (select node, split_part(node, ':', 1) as kind, count(*)::bigint as degree from (select de as node from links union all select para from links) group by 1)"
@@ -128,3 +130,29 @@ def _(spark, sf):
     s = F.col("event_id") % 10000
     raw = F.when(F.col("event_id") % 2 == 0, F.format_string("%d:%02d:%02d", (s / 3600).cast("long"), (s / 60).cast("long") % 60, s % 60)).otherwise(F.concat(s.cast("string"), F.lit(",7")))
     return table(spark, sf, "events").select("event_id", scalars.seconds(raw).alias("seconds"))
+
+
+@query("page_texts")
+def _(spark, sf):
+    return importers.page_texts(table(spark, sf, "pages"))
+
+
+@query("windowed_pairs", "select date_trunc('day', ts)::timestamp as start, a, b, count(*)::bigint as n, sum(floor(value))::bigint as seconds from (select user_id as a, json_extract_string(props, '$.k')::bigint as b, ts, value from events) where a <> b group by 1, 2, 3")
+def _(spark, sf):
+    return windowed_pairs(calls(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("communities")
+def _(spark, sf):
+    return graph.communities(_small_links(spark, sf))
+
+
+@query("betweenness")
+def _(spark, sf):
+    return graph.betweenness(_small_links(spark, sf))
+
+
+@query("bridges")
+def _(spark, sf):
+    g = _small_links(spark, sf)
+    return graph.bridges(graph.betweenness(g), graph.communities(g), g)
