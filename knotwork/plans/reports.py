@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import export, graph, integrity, signals
+from ..operators import export, extraction, graph, integrity, relations, signals
 from ..sources import importers
 from ..sources.tables import links, node, table
 from ..streaming.calls import windowed_pairs
@@ -156,3 +156,28 @@ def _(spark, sf):
 def _(spark, sf):
     g = _small_links(spark, sf)
     return graph.bridges(graph.betweenness(g), graph.communities(g), g)
+
+
+def _mentions(spark, sf):
+    sents = extraction.sentences(table(spark, sf, "documents").select("doc_id", "text"))
+    return sents, extraction.mentions(sents)
+
+
+@query("text_mentions")
+def _(spark, sf):
+    return _mentions(spark, sf)[1]
+
+
+@query("text_entities")
+def _(spark, sf):
+    return extraction.entities(_mentions(spark, sf)[1])
+
+
+@query("text_relations")
+def _(spark, sf):
+    return relations.relations(*_mentions(spark, sf))
+
+
+@query("merge_suggestions")
+def _(spark, sf):
+    return extraction.merge_suggestions(extraction.entities(_mentions(spark, sf)[1]))
