@@ -9,7 +9,7 @@ from ..operators import export, extraction, graph, integrity, relations, signals
 from ..sources import importers
 from ..sources.tables import links, node, table
 from ..streaming.calls import windowed_pairs
-from .registry import OVERLAP_SQL, _checkpoints, _small_links, calls, query
+from .registry import OVERLAP_SQL, _checkpoints, _whole_links, calls, query
 
 EDGES_SQL = ", e as (select de, para, weight, label, count(*)::bigint as n, min(day)::varchar as first_day, array_to_string(list_sort(list(distinct source)), '|') as sources from links group by 1, 2, 3, 4)"
 NODES_SQL = ", v as (select node, split_part(node, ':', 1) as kind, count(*)::bigint as degree from (select de as node from links union all select para from links) group by 1)"
@@ -144,17 +144,17 @@ def _(spark, sf):
 
 @query("communities")
 def _(spark, sf):
-    return graph.communities(_small_links(spark, sf))
+    return graph.communities(_whole_links(spark, sf))
 
 
 @query("betweenness")
 def _(spark, sf):
-    return graph.betweenness(_small_links(spark, sf))
+    return graph.betweenness(_whole_links(spark, sf))
 
 
 @query("bridges")
 def _(spark, sf):
-    g = _small_links(spark, sf)
+    g = _whole_links(spark, sf)
     return graph.bridges(graph.betweenness(g), graph.communities(g), g)
 
 
