@@ -4,8 +4,9 @@ Fixed masks look at some words of a window and ignore the others, so a seed
 survives substitutions at the ignored places. Seeds of documents and of
 benchmark items are joined on their hash; around each hit the two texts are
 laid side by side (same diagonal: document position minus item position) and
-equal words are counted. An item is found in a document when the words that
-agree on all its hit diagonals together reach ``min_share`` of the item.
+equal words are noted by their place in the item. An item is found in a document
+when the places that agree on any hit diagonal reach ``min_share`` of the item; a
+place that agrees on several diagonals, as under a repeated phrase, counts once.
 
 Defined cases: null or empty texts and items match nothing; items with fewer
 words than the longest mask match only by chance and never count; repeated
@@ -58,14 +59,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = rows.join(_bounded(index), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("diagonal"))
     hits = common.cut(hits.distinct())
     beside = word_hashes(d.join(_bounded(hits), "doc_id"), "text", "h").select("doc_id", "item_id", "diagonal", "h").join(_bounded(items), "item_id")
-    # h is named twice, so that the optimizer doesn't move its making into the loop
-    agree = F.expr("aggregate(sequence(greatest(0, -diagonal), least(size(b), size(h) - diagonal) - 1), 0, (a, j) -> a + if(h[diagonal + j] = b[j], 1, 0))")
-    return (
-        beside.select("doc_id", "item_id", F.size("b").alias("n_item"), agree.alias("n"))
-        .groupBy("doc_id", "item_id", "n_item")
-        .agg(F.least(F.sum("n"), F.col("n_item")).alias("n_match"))
-        .select("doc_id", "item_id", F.col("n_match").cast("long"), F.col("n_item").cast("long"))
+    # h is named twice, so that the optimizer doesn't move its making into the loop; each diagonal gives maps of 64 places
+    # of the item, so that the union over many diagonals is a bounded bit_or
+    first, last = "greatest(0, -diagonal)", "least(size(b), size(h) - diagonal) - 1"
+    places = f"sequence(greatest({first}, k * 64), least({last}, k * 64 + 63))"
+    bits = f"aggregate({places}, 0L, (a, j) -> a | if(h[diagonal + j] = b[j], shiftleft(1L, j - k * 64), 0L))"
+    maps = F.expr(f"transform(sequence(cast({first} div 64 as int), cast(({last}) div 64 as int)), k -> struct(k as block, {bits} as bits))")
+    union = (
+        beside.select("doc_id", "item_id", F.size("b").alias("n_item"), maps.alias("maps"))
+        .select("doc_id", "item_id", "n_item", F.inline("maps"))
+        .groupBy("doc_id", "item_id", "n_item", "block")
+        .agg(F.bit_or("bits").alias("bits"))
     )
+    totals = union.groupBy("doc_id", "item_id", "n_item").agg(F.sum(F.bit_count("bits")).alias("n_match"))
+    return totals.select("doc_id", "item_id", F.col("n_match").cast("long"), F.col("n_item").cast("long"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.5) -> DataFrame:
