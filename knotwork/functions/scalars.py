@@ -41,10 +41,19 @@ def local_number(c: Column) -> Column:
     return F.when(F.length(d).isin(10, 11), d)
 
 
+#: Titles and short forms whose dot ends no sentence.
+SHORT_FORMS = "Av|Dr|Dra|Sr|Sra|Prof|Profa|Cia|Ltd|Exmo|Exma"
+
+
 def sentences(c: Column) -> Column:
-    """X1's split: after . ! or ? before a space and a capital or quote, or at blank lines; single newlines are spaces."""
-    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\r", ""), "\n{2,}", "\x01"), "\n", " ")
-    marked = F.regexp_replace(flat, "([.!?]) +([A-ZÀ-Ú\"])", "$1\x01$2")
+    """X1's split: after . ! or ? before a space and a capital, quote or parenthesis, or at blank lines; single newlines are spaces.
+
+    A parenthesis after a legal form's dot, as in "Ltda. (CNPJ ...)", stays with the company. F15 comes first: S.A. becomes SA. and short forms lose their dot.
+    """
+    start = r"(?<![\p{L}\p{N}_])"
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\r", ""), start + r"S\.\s?A\.?", "SA."), rf"{start}({SHORT_FORMS})\.", "$1")
+    flat = F.regexp_replace(F.regexp_replace(c, "\n{2,}", "\x01"), "\n", " ")
+    marked = F.regexp_replace(flat, "([.!?]) +([A-ZÀ-Ú\"“]|(?<!(?:Ltda|LTDA|SA|S/A|ME|EPP|EIRELI|Eireli)\\. {1,9})\\()", "$1\x01$2")
     return F.filter(F.transform(F.split(marked, "\x01", -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
