@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task replays the merges over all distinct words of a slice of the corpus at
-once: an inverted index from the token a pair would become to the places of
+A task replays the merges over the distinct words of one text that it doesn't
+remember, block by block, not over a slice of the corpus at once: an inverted index from the token a pair would become to the places of
 that pair is worked off in rank order, and a merge touches only its neighbours.
 Words met before come from a bounded memory; texts are then strings of known
 words. No corpus-wide vocabulary goes through the driver or one task.
