@@ -9,6 +9,10 @@ checksum, and gives exact durations and the byte offset of every frame.
 Defined cases: null and empty texts have a payload of 64 zero bytes; equal
 texts have equal values; bytes without any frame parse to no frames, no payload
 and a duration of 0.
+
+Limits: the reader takes MPEG-1 layer III with 32 bytes of side information, so
+no mono, MPEG-2 or 2.5; of the variable-bitrate tables it reads only Xing/Info's
+frame count, not the byte count, the seek table or VBRI.
 """
 
 from __future__ import annotations
