@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Salts for a hot key, the share of sampled lines that makes a key hot, and the documents sampled to find hot keys.
-SALTS, HOT_SHARE, SAMPLE_DOCS = 64, 0.002, 20_000
+#: Salts for a hot key, the share of sampled lines that makes a key hot, the documents sampled to find hot keys, and ranges of hashes a partition.
+SALTS, HOT_SHARE, SAMPLE_DOCS, RANGES = 64, 0.002, 20_000, 32
 
 
 def _lines(text: Column) -> Column:
@@ -43,14 +43,15 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
     The bitmap is compressed: words without a dropped line are absent.
 
-    Line hashes are range-partitioned by (hash, salt) and sorted by document and
-    position within; the first row of a key is its first occurrence, which a
-    running window hands to the rows after it. A hot key is dealt over SALTS
-    partitions and its first occurrences meet in a small aggregate, of at most
-    1/HOT_SHARE keys; which keys count as hot changes the speed, not the result.
+    Line hashes are range-partitioned and sorted by hash, salt, document and position; the
+    first row of a key is its first occurrence, which a running window hands to the rows
+    after it. Hashes are spread evenly, so equal ranges of them need no sampled splitters. A
+    hot key is dealt over SALTS ranges; the first occurrences of its salts, at most SALTS /
+    HOT_SHARE rows, meet in a small aggregate. Which keys count as hot changes the speed only.
     """
     spark = docs.sparkSession
     d = common.texts(docs)
+    n = common.partitions(spark)
     rows = line_rows(d, min_chars)
     share = min(1.0, SAMPLE_DOCS / max(1, d.count()))
     seen = line_rows(d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)), min_chars).groupBy("h1").count()
@@ -58,29 +59,30 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     hot = [r.h1 for r in seen.where(F.col("count") >= max(50, HOT_SHARE * total)).select("h1").collect()]
     is_hot = F.col("h1").isin(hot) if hot else F.lit(False)
     salted = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    dealt = salted.repartitionByRange(common.partitions(spark), "h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
-    w = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.floor((F.shiftright("h1", 33) + (1 << 30)) * (RANGES * n) / (1 << 31)) + F.floor(F.col("salt") * (RANGES * n) / SALTS)
+    key = ["range", "h1", "h2", "salt"]
+    dealt = salted.withColumn("range", F.pmod(place, F.lit(RANGES * n)).cast("int")).repartition(n, "range").sortWithinPartitions(*key, "doc_id", "pos")
+    w = Window.partitionBy(*key).orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = dealt.withColumn("first_doc", F.first("doc_id").over(w))
-    if hot:
-        heads = line_rows(d, min_chars).where(is_hot).groupBy("h1", "h2").agg(F.min("doc_id").alias("hot_first"))
-        first = first.join(F.broadcast(heads), ["h1", "h2"], "left").withColumn("first_doc", F.coalesce("hot_first", "first_doc"))
-    words = (
-        first.where("doc_id > first_doc")
-        .select("doc_id", F.shiftright("pos", 6).alias("word"), F.expr("shiftleft(1L, pos & 63)").alias("bit"))
-        .repartition("doc_id")
-        .groupBy("doc_id", "word")
-        .agg(F.bit_or("bit").alias("bits"))
-    )
+    bit = [F.shiftright("pos", 6).alias("word"), F.expr("shiftleft(1L, pos & 63)").alias("bit")]
+    if hot:  # a salt's first document may still come after another salt's
+        first = common.cut(first.where((F.col("doc_id") > F.col("first_doc")) | is_hot).select("h1", "h2", "doc_id", "pos", "first_doc"))
+        open_ = first.where("doc_id = first_doc")
+        heads = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+        late = open_.join(F.broadcast(heads), ["h1", "h2"]).where("doc_id > least").select("doc_id", *bit)
+        gone = first.where("doc_id > first_doc").select("doc_id", *bit).union(late)
+    else:
+        gone = first.where("doc_id > first_doc").select("doc_id", *bit)
+    words = gone.repartition("doc_id").groupBy("doc_id", "word").agg(F.bit_or("bit").alias("bits"))
     return words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bitmap"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The documents with n_lines, n_dropped and kept (the text of the lines that stay) beside their own columns."""
-    lines, gone = _lines(F.col("text")), "bitmap[i >> 6]"
-    joined = docs.join(bitmaps.withColumnRenamed("doc_id", "_bitmap_doc"), F.col("doc_id") == F.col("_bitmap_doc"), "left").drop("_bitmap_doc")
-    kept = F.when(F.col("bitmap").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.expr(f"filter(_lines, (l, i) -> coalesce((shiftright({gone}, i & 63) & 1L) = 0, true))"), "\n"))
+    """doc_id, text, n_lines, n_dropped and kept (the text of the lines that stay) of docs with columns doc_id and text."""
+    joined = docs.select("doc_id", "text").join(bitmaps, "doc_id", "left").withColumn("lines", _lines(F.col("text")))
+    kept = F.when(F.col("bitmap").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.expr("filter(lines, (l, i) -> coalesce((shiftright(bitmap[i >> 6], i & 63) & 1L) = 0, true))"), "\n"))
     dropped = F.coalesce(F.expr("aggregate(map_values(bitmap), 0L, (a, b) -> a + bit_count(b))"), F.lit(0).cast("long"))
-    return joined.withColumn("_lines", lines).withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": dropped, "kept": kept}).drop("_lines", "bitmap")
+    return joined.select("doc_id", "text", F.size("lines").cast("long").alias("n_lines"), dropped.alias("n_dropped"), kept.alias("kept"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
