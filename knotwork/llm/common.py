@@ -24,20 +24,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where none is set, as in tests, a new temporary one."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. A local session may do without: it gets a new temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if named is None:
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and keep it in the shared checkpoint folder, so that lost executors don't lose it."""
-    checkpoint_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that nothing refers to any more
-    return out
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+#: Bytes of texts handed to Python at a time. Spark's default, 10,000 rows of up to 64 MB in all, would fill an executor's memory beside its heap.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set BATCH_BYTES for this session, unless its user has set another bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -103,6 +117,7 @@ def per_text(docs: DataFrame, schema: str, start, chars: int = 1 << 20) -> DataF
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    bounded_batches(docs.sparkSession)
     full = _parse_datatype_string(f"doc_id long, {schema}")
     assert isinstance(full, StructType)
 
@@ -113,8 +128,8 @@ def per_text(docs: DataFrame, schema: str, start, chars: int = 1 << 20) -> DataF
             columns = made(texts)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64())] + [pa.array(columns[f.name], f.type) for f in list(arrow)[1:]], schema=arrow)
 
+        ids, held, size = [], [], 0
         for batch in batches:
-            ids, held, size = [], [], 0
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids.append(i)
                 held.append(text := t.as_py())
@@ -122,8 +137,8 @@ def per_text(docs: DataFrame, schema: str, start, chars: int = 1 << 20) -> DataF
                 if size >= chars:
                     yield flush(ids, held)
                     ids, held, size = [], [], 0
-            if ids:
-                yield flush(ids, held)
+        if ids:
+            yield flush(ids, held)
 
     return d.mapInArrow(run, full)
 

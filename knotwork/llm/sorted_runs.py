@@ -3,20 +3,22 @@
 Rows are range-partitioned by sampled splitters on all sort columns, so even one
 key that holds a third of all rows is dealt over many buckets. A bucket sorts
 locally by multikey quicksort. Runs that touch a bucket's edge are compared
-across boundaries by the first and last row of each bucket, which are all that
-reaches the driver.
+across boundaries in Spark: a key that stands at the edges of two buckets goes on
+from one to the other. Nothing but the splitters' sample reaches the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Rows meant for a bucket, rows from which a part is split by a pivot rather than sorted at once.
 BUCKET_ROWS, PIVOT_ROWS = 400_000, 1 << 16
+#: Sampled rows a bucket and in all, and buckets up to which the few rows at their edges (two a bucket) are broadcast.
+SAMPLE_A_BUCKET, SAMPLE_ROWS, BROADCAST_BUCKETS = 100, 1_000_000, 100_000
 REPEATED, TWIN, HEAD, MIXED, FIRST_RUN, LAST_RUN, FIRST_CLASS, LAST_CLASS, FIRST, LAST = (1 << k for k in range(10))
 
 
@@ -60,19 +62,46 @@ def _marks(core: np.ndarray, twin: np.ndarray) -> np.ndarray:
     return mark
 
 
-def repeated(rows: DataFrame, keys: list[str], ties: list[str], estimate: int) -> DataFrame:
+def buckets_for(spark: SparkSession, estimate: int) -> int:
+    return max(common.partitions(spark), -(-estimate // BUCKET_ROWS))
+
+
+def cuts(sample: DataFrame, order: list[str], buckets: int) -> list[np.ndarray]:
+    """buckets - 1 splitters, a column each, from at most SAMPLE_ROWS sampled rows."""
+    rows = sample.select(order).limit(SAMPLE_ROWS).toPandas()
+    columns = [rows[c].to_numpy(np.int64) for c in order]
+    at = multikey_quicksort(columns)
+    at = at[np.arange(1, buckets) * len(at) // buckets]
+    return [c[at] for c in columns] if len(rows) else [np.zeros(0, np.int64) for _ in order]
+
+
+def bucket_of(columns: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
+    """How many splitters are at or below each row; later columns count where earlier ones tie."""
+    out = np.searchsorted(cuts[0], columns[0], "right")
+    if len(columns) == 1:
+        return out
+    low = np.searchsorted(cuts[0], columns[0], "left")
+    tied = np.flatnonzero(low < out)
+    for k in np.unique(low[tied]):
+        at = tied[low[tied] == k]
+        out[at] = k + bucket_of([c[at] for c in columns[1:]], [c[k : out[at[0]]] for c in cuts[1:]])
+    return out
+
+
+def repeated(rows: DataFrame, keys: list[str], ties: list[str], buckets: int) -> DataFrame:
     """The rows whose first key occurs more than once, with booleans twin (all keys do), head (first row of its keys) and mixed (its first key has other second keys).
 
-    All columns are longs without nulls. estimate: about how many rows there are, for the number of buckets.
+    All columns are longs without nulls, but for an int column bucket: where rows have it, it
+    tells their bucket by bucket_of; else Spark samples splitters, which makes the rows twice.
     The result is cut, for it is small beside the input and read more than once.
     """
     import pyarrow as pa
     from pyspark import TaskContext
 
-    spark, names = rows.sparkSession, rows.columns
+    names = [c for c in rows.columns if c != "bucket"]
     order = [*keys, *ties]
-    buckets = max(common.partitions(spark), -(-estimate // BUCKET_ROWS))
     schema = ", ".join(f"{n} long" for n in names) + ", bucket int, mark int"
+    common.bounded_batches(rows.sparkSession)
 
     def run(batches):
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
@@ -93,22 +122,18 @@ def repeated(rows: DataFrame, keys: list[str], ties: list[str], estimate: int) -
         count = int(keep.sum())
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(count, TaskContext.get().partitionId(), np.int32)), pa.array(mark[keep].astype(np.int32))], names=[*names, "bucket", "mark"])
 
-    found = common.cut(rows.repartitionByRange(buckets, *order).mapInArrow(run, schema))
-    edges = found.where(F.col("mark").bitwiseAND(FIRST | LAST) != 0).select("bucket", "mark", *keys).collect()  # two a bucket at most
-    first = {r.bucket: [r[k] for k in keys] for r in edges if r.mark & FIRST}
-    last = {r.bucket: [r[k] for k in keys] for r in edges if r.mark & LAST}
-    joins, before = {b: [False] * 4 for b in first}, None  # first key as the bucket's before and after, all keys as these
-    for b in sorted(first):
-        if before is not None and last[before][0] == first[b][0]:
-            joins[b][0] = joins[before][1] = True
-            if last[before] == first[b]:
-                joins[b][2] = joins[before][3] = True
-        before = b
-    table = spark.createDataFrame([(b, *x) for b, x in joins.items()], "bucket int, core_before boolean, core_after boolean, all_before boolean, all_after boolean")
+    dealt = rows.repartitionById(buckets, "bucket") if "bucket" in rows.columns else rows.repartitionByRange(buckets, *order)
+    found = common.cut(dealt.select(names).mapInArrow(run, schema))
+    edges = found.where(F.col("mark").bitwiseAND(FIRST | LAST) != 0).select("bucket", *keys)
+
+    def crossing(by, low, high):
+        e = edges.groupBy(by).agg(F.min("bucket").alias(low), F.max("bucket").alias(high)).where(F.col(low) < F.col(high))
+        return F.broadcast(e) if buckets <= BROADCAST_BUCKETS else e
+
     has = lambda bit: F.col("mark").bitwiseAND(bit) != 0
-    across = (has(FIRST_RUN) & F.col("core_before")) | (has(LAST_RUN) & F.col("core_after"))
-    return (
-        found.join(F.broadcast(table), "bucket")
-        .where(has(REPEATED) | across)
-        .select(*names, (has(TWIN) | (has(FIRST_CLASS) & F.col("all_before")) | (has(LAST_CLASS) & F.col("all_after"))).alias("twin"), (has(HEAD) & ~(has(FIRST_CLASS) & F.col("all_before"))).alias("head"), (has(MIXED) | across).alias("mixed"))
-    )
+    is_so = lambda c: F.coalesce(c, F.lit(False))
+    across = is_so((has(FIRST_RUN) & (F.col("core_low") < F.col("bucket"))) | (has(LAST_RUN) & (F.col("core_high") > F.col("bucket"))))
+    before = is_so(has(FIRST_CLASS) & (F.col("all_low") < F.col("bucket")))
+    after = is_so(has(LAST_CLASS) & (F.col("all_high") > F.col("bucket")))
+    beside = found.join(crossing(keys[:1], "core_low", "core_high"), keys[:1], "left").join(crossing(keys, "all_low", "all_high"), keys, "left")
+    return beside.where(has(REPEATED) | across).select(*names, (has(TWIN) | before | after).alias("twin"), (has(HEAD) & ~before).alias("head"), (has(MIXED) | across).alias("mixed"))

@@ -81,7 +81,22 @@ def test_multikey_quicksort(monkeypatch):
     assert (at == np.lexsort(columns[::-1])).all() or all((c[at] == c[np.lexsort(columns[::-1])]).all() for c in columns)
 
 
+def test_bucket_of_equals_comparing_rows():
+    r = np.random.default_rng(2)
+    rows, cuts = (np.array(sorted(map(tuple, r.integers(0, 4, (n, 3))))) for n in (400, 30))
+    got = sorted_runs.bucket_of(list(rows.T), list(cuts.T))
+    assert got.tolist() == [sum(tuple(c) <= tuple(x) for c in cuts) for x in rows]
+    assert sorted_runs.bucket_of(list(rows.T), [np.zeros(0, np.int64)] * 3).tolist() == [0] * 400
+
+
+def test_runs_across_given_buckets(spark):
+    """One key over all buckets, some of them empty."""
+    rows = spark.range(3000).selectExpr("if(id < 2500, 7L, id) core", "if(id < 2000, 1L, id) around", "id doc_id", "0L pos", "cast(if(id < 2900, id div 400 * 2, 15) as int) bucket")
+    got = sorted_runs.repeated(rows, ["core", "around"], ["doc_id", "pos"], 16).collect()
+    assert len(got) == 2500 and sum(r.twin for r in got) == 2000 and sum(r["head"] for r in got) == 501
+
+
 def test_runs_across_buckets(spark):
     rows = spark.range(3000).selectExpr("if(id < 2500, 7, id) core", "if(id < 2000, 1, id) around", "id doc_id", "0L pos")
-    got = sorted_runs.repeated(rows.selectExpr("cast(core as long) core", "cast(around as long) around", "doc_id", "cast(pos as long) pos"), ["core", "around"], ["doc_id", "pos"], 10).collect()
+    got = sorted_runs.repeated(rows.selectExpr("cast(core as long) core", "cast(around as long) around", "doc_id", "cast(pos as long) pos"), ["core", "around"], ["doc_id", "pos"], 4).collect()
     assert len(got) == 2500 and sum(r.twin for r in got) == 2000 and sum(r["head"] for r in got) == 501
