@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task replays the merges over the distinct words of one text that it doesn't
-remember, block by block, not over a slice of the corpus at once: an inverted index from the token a pair would become to the places of
-that pair is worked off in rank order, and a merge touches only its neighbours.
-Words met before come from a bounded memory; texts are then strings of known
-words. No corpus-wide vocabulary goes through the driver or one task.
+A task takes a slice of the corpus at a time, many texts or a block of a very
+long one, collects its distinct words, and replays the merges over all of them
+at once: an inverted index from token pair to the places of that pair is worked
+off in rank order, and a merge touches only its neighbours. Texts are then
+gathered from the ids of their words. Words of the last slices are remembered
+within bounds, and the older half is forgotten first. No corpus-wide vocabulary
+goes through the driver or one task.
 
 Defined cases: null and empty texts have no tokens; repeated rows give equal
 rows; ids decode to the very bytes of the text.
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -23,107 +25,204 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Words remembered by a task, and words taken of a text at a time.
-REMEMBERED, BLOCK = 400_000, 200_000
+#: Characters of a slice, words of a slice and of a block of one text, words after which a generation of remembered ones ends, and the longest word remembered.
+CHARS, SLICE, BLOCK, REMEMBERED, LONGEST = 1 << 22, 1_000_000, 200_000, 40_000, 64
 
 KINDS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 
 
 class MergeReplay:
-    """Encodes words by the ranks of a file of lines 'base64-token rank'."""
+    """Encodes words by the ranks of a file of lines 'base64-token rank'. A pair of tokens is one number, the left one in the upper bits."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)])
         self.pieces = [b""] * (max(ranks.values()) + 1)
-        self.merges: dict[tuple[int, int], int] = {}
+        self.bits = len(self.pieces).bit_length()
+        self.merges: dict[int, int] = {}
         for token, rank in ranks.items():
             self.pieces[rank] = token
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    self.merges[a, b] = rank
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        merges, single = self.merges.get, self.single
-        token, starts = [], []
-        for w in words:
-            starts.append(len(token))
-            token.extend(map(single.__getitem__, w))
-            token.append(-1)  # no pair crosses the end of a word
-        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
-        places: dict[int, list[int]] = {}
-        for p in range(len(token) - 1):
-            if (rank := merges((token[p], token[p + 1]))) is not None:
-                places.setdefault(rank, []).append(p)
-        queue = list(places)
-        heapify(queue)
+                    self.merges[a << self.bits | b] = rank
+        self.pairs = np.sort(np.fromiter(self.merges, np.int64, len(self.merges)))
+        self.made = np.array([self.merges[p] for p in self.pairs.tolist()] or [0], np.int64)
+        self.none = len(self.pieces)  # above every rank
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs and the ranks of what they make; ``none`` for a pair that makes nothing."""
+        pair = (left << self.bits) | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.made) - 1)
+        fits = (self.pairs[at] == pair) & (left >= 0) & (right >= 0) if len(self.pairs) else np.zeros(len(pair), bool)
+        return pair, np.where(fits, self.made[at], self.none)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one word after the other, and how many each has."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes) + np.arange(1, len(words) + 1)  # no pair crosses -1, which stands before and after each word
+        token = np.full(int(sizes.sum()) + len(words) + 1, -1, np.int64)
+        inside = np.ones(len(token), bool)
+        inside[0] = inside[ends] = False
+        token[inside] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        self._replay(token)
+        before = np.cumsum(token >= 0)[ends]
+        return token[token >= 0].astype("<u4"), np.diff(before, prepend=0)
+
+    def _replay(self, token: np.ndarray) -> None:
+        """Apply all merges to token in place; places that a merge takes become -2."""
+        after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
+        places: dict[int, list[np.ndarray]] = {}  # the inverted index
+        waiting: dict[int, list[int]] = {}  # rank to the pairs in the index that make it
+        queue: list[int] = []
+
+        def add(at, pair, rank):
+            fits = rank < self.none
+            at, pair, rank = at[fits], pair[fits], rank[fits]
+            order = np.argsort(pair, kind="stable")
+            at, pair, rank = at[order], pair[order], rank[order]
+            begin = [0, *(np.flatnonzero(pair[1:] != pair[:-1]) + 1).tolist()] if len(at) else []
+            for key, r, a, b in zip(pair[begin].tolist(), rank[begin].tolist(), begin, [*begin[1:], len(at)]):
+                if key in places:
+                    places[key].append(at[a:b])
+                    continue
+                places[key] = [at[a:b]]
+                if r in waiting:
+                    waiting[r].append(key)
+                else:
+                    waiting[r] = [key]
+                    heappush(queue, r)
+
+        add(np.arange(len(token) - 1), *self._ranks(token[:-1], token[1:]))
         while queue:
             rank = heappop(queue)
-            todo = places.pop(rank)
-            todo.sort()
-            for k, p in enumerate(todo):
+            keys = waiting.pop(rank)
+            p = np.concatenate([x for pair in keys for x in places.pop(pair)])
+            p.sort()
+            q = after[p]
+            pair = (token[p] << self.bits) | token[q]
+            fits = pair == keys[0]  # else a neighbour's merge has taken one side
+            for key in keys[1:]:
+                fits |= pair == key
+            fits[1:] &= p[1:] != p[:-1]
+            p, q = p[fits], q[fits]
+            every, linked = p, p[1:] == q[:-1]
+            if linked.any():  # of places that overlap, the first, third, ... merge
+                at = np.arange(len(p))
+                p = p[(at - np.maximum.accumulate(np.where(np.r_[False, linked], 0, at))) % 2 == 0]
                 q = after[p]
-                if token[p] < 0 or merges((token[p], token[q])) != rank:
-                    continue  # a neighbour's merge has taken one side
-                token[p], token[q] = rank, -2
-                after[p] = r = after[q]
-                before[r] = p
-                lower = False
-                for left, right in ((before[p], p), (p, r)):
-                    if left >= 0 and (new := merges((token[left], token[right]))) is not None:
-                        if new in places:
-                            places[new].append(left)
-                        else:
-                            places[new] = [left]
-                            heappush(queue, new)
-                        lower |= new <= rank
-                if lower:  # that one comes first; the rest of these places waits
-                    rest = todo[k + 1 :]
-                    if rank in places:
-                        places[rank].extend(rest)
-                    elif rest:
-                        places[rank] = rest
-                        heappush(queue, rank)
+            one, two, r, n = token[p], token[q], after[q], len(p)
+            beside = token[r]
+            token[p], token[q], after[p], before[r] = rank, -2, r, p
+            left = before[p]
+            pair, ranks = self._ranks(np.concatenate([token[left], token[p], token[p]]), np.concatenate([token[p], token[r], beside]))
+            if (ranks > rank).all():
+                add(np.concatenate([left, p]), pair[: 2 * n], ranks[: 2 * n])
+                continue
+            # one of these merges makes a pair that comes before the others: undo them and go on place by place
+            token[p], token[q], after[p], before[r] = one, two, q, q
+            for k, x in enumerate(every):
+                y = after[x]
+                if self._ranks(token[[x]], token[[y]])[1][0] != rank:
+                    continue
+                z = after[y]
+                token[x], token[y], after[x], before[z] = rank, -2, z, x
+                at = np.array([before[x], x])
+                pair, ranks = self._ranks(token[at], token[after[at]])
+                add(at, pair, ranks)
+                if (ranks <= rank).any():
+                    rest = every[k + 1 :]
+                    add(rest, *self._ranks(token[rest], token[after[rest]]))
                     break
-        out = []
-        for p in starts:
-            ids = []
-            while token[p] >= 0:
-                ids.append(token[p])
-                p = after[p]
-            out.append(ids)
-        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
 class Encoder:
-    """Texts to ids, with a bounded memory of words."""
+    """Texts to ids, a slice at a time, with a bounded memory of words."""
 
     def __init__(self, path: str, pattern: str):
-        self.replay, self.pattern, self.known = MergeReplay(path), regex.compile(pattern), {}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        for w, ids in zip(new, self.replay.encode([w.encode() for w in new])):
-            self.known[w] = np.array(ids, "<u4").tobytes()
-
-    def blocks(self, text: str):
-        """The ids of the text as little-endian bytes, a block of words at a time."""
+        self.replay, self.pattern = MergeReplay(path), regex.compile(pattern)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _blocks(self, text: str):
         if len(text) < 4 * BLOCK:
-            found = [self.pattern.findall(text)]
-        else:
-            stream = (m.group() for m in self.pattern.finditer(text))
-            found = iter(lambda: list(islice(stream, BLOCK)), [])
-        for words in found:
-            self.learn(set(words))
-            yield b"".join(map(self.known.__getitem__, words))
+            yield self.pattern.findall(text)
+            return
+        stream = (m.group() for m in self.pattern.finditer(text))
+        while words := list(islice(stream, BLOCK)):
+            yield words
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of a slice's distinct words: all ids, and how many each word has. What isn't remembered is replayed at once."""
+        known = [self.young.get(w) or self.old.get(w) for w in words]
+        new = [j for j, b in enumerate(known) if b is None]
+        ids, sizes = self.replay.encode([words[j].encode() for j in new])
+        ends = 4 * np.cumsum(sizes)
+        raw = ids.tobytes()
+        for j, a, b in zip(new, (ends - 4 * sizes).tolist(), ends.tolist()):
+            known[j] = raw[a:b]
+        self.young.update((w, b) for w, b in zip(words, known) if len(w) <= LONGEST)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        return np.frombuffer(b"".join(known), "<u4"), np.fromiter((len(b) >> 2 for b in known), np.int64, len(known))
+
+    def slices(self, texts: list[str]):
+        """(number of the text, ids) in order; a long text in several parts."""
+        index: dict[str, int] = {}
+        pieces, held = [], 0
+
+        def flush():
+            flat, sizes = self._ids(list(index))
+            starts = np.cumsum(sizes) - sizes
+            for i, ix in pieces:
+                n = sizes[ix]
+                yield i, flat[np.repeat(starts[ix] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+        for i, text in enumerate(texts):
+            for words in self._blocks(text):
+                for w in set(words):
+                    if w not in index:
+                        index[w] = len(index)
+                pieces.append((i, np.fromiter(map(index.__getitem__, words), np.int32, len(words))))
+                held += len(words)
+                if held >= SLICE:
+                    yield from flush()
+                    index.clear()
+                    pieces.clear()
+                    held = 0
+        yield from flush()
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.concatenate([ids for _, ids in self.slices([text])] or [np.zeros(0, "<u4")])
+
+
+class _Row:
+    """The outputs of one text, from its ids as they come."""
+
+    def __init__(self, replay: MergeReplay, outputs: tuple[str, ...]):
+        self.replay, self.outputs, self.n = replay, outputs, 0
+        self.ids, self.pieces, self.sums, self.plain = [], [], hashlib.sha256(), hashlib.sha256()
+
+    def add(self, ids: np.ndarray) -> None:
+        self.n += len(ids)
+        if "ids" in self.outputs:
+            self.ids.append(ids.astype(np.int32))
+        if "ids_sha256" in self.outputs:
+            self.sums.update(ids.astype("<u4").tobytes())
+        if "decoded" in self.outputs or "decoded_sha256" in self.outputs:
+            piece = self.replay.decode(ids.tolist())
+            self.plain.update(piece)
+            if "decoded" in self.outputs:
+                self.pieces.append(piece)
+
+    def value(self, output: str):
+        if output == "ids":
+            return np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
+        return {"n_tokens": self.n, "ids_sha256": self.sums.hexdigest(), "decoded": b"".join(self.pieces), "decoded_sha256": self.plain.hexdigest()}[output]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] = ("ids",)) -> DataFrame:
@@ -132,28 +231,15 @@ def encode(docs: DataFrame, path: str, pattern: str, outputs: tuple[str, ...] =
     def start():
         encoder = Encoder(path, pattern)
 
-        def one(text):
-            ids, sums, plain, n = [], hashlib.sha256(), hashlib.sha256(), 0
-            pieces = []
-            for block in encoder.blocks(text):
-                sums.update(block)
-                n += len(block) // 4
-                numbers = np.frombuffer(block, "<u4")
-                if "ids" in outputs:
-                    ids.append(numbers)
-                if "decoded" in outputs or "decoded_sha256" in outputs:
-                    plain.update(piece := encoder.replay.decode(numbers.tolist()))
-                    if "decoded" in outputs:
-                        pieces.append(piece)
-            return {"ids": np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32), "n_tokens": n, "ids_sha256": sums.hexdigest(), "decoded": b"".join(pieces), "decoded_sha256": plain.hexdigest()}
-
         def made(texts):
-            rows = [one(t) for t in texts]
-            return {k: [r[k] for r in rows] for k in outputs}
+            rows = [_Row(encoder.replay, outputs) for _ in texts]
+            for i, ids in encoder.slices(texts):
+                rows[i].add(ids)
+            return {k: [r.value(k) for r in rows] for k in outputs}
 
         return made
 
-    return common.per_text(docs, ", ".join(f"{k} {KINDS[k]}" for k in outputs), start)
+    return common.per_text(docs, ", ".join(f"{k} {KINDS[k]}" for k in outputs), start, CHARS)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import base64
 import hashlib
+import random
 import struct
 
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,8 +27,38 @@ ENCODER = byte_bpe.Encoder(PATH, P.PATTERN)
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(codec="utf-8"), max_size=60) | st.text("abthe 'slo\n", max_size=80))
 def test_ids_equal_the_library(reference, text):
-    ids = b"".join(ENCODER.blocks(text))
-    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == reference.encode_ordinary(text)
+    assert ENCODER.encode(text).tolist() == reference.encode_ordinary(text)
+
+
+def test_ids_equal_the_library_under_any_ranks(tmp_path):
+    """Random tokens in random order, so that a merge can make a pair that comes before it."""
+    r = random.Random(1)
+    for k in range(60):
+        tokens, pool = {bytes([b]) for b in range(256)}, [b"a", b"b", b"c"]
+        for _ in range(r.randint(1, 25)):
+            if len(x := r.choice(pool) + r.choice(pool)) <= 6:
+                pool.append(x)
+                tokens.add(x)
+        ranks = {x: i for i, x in enumerate(sorted(tokens, key=lambda x: (len(x) > 1, r.random())))}
+        path = tmp_path / f"{k}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(x) + b" %d\n" % i for x, i in ranks.items()))
+        library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        words = ["".join(r.choices("abc", k=r.randint(1, 14))) for _ in range(30)]
+        ids, sizes = byte_bpe.MergeReplay(str(path)).encode([w.encode() for w in words])
+        ends = sizes.cumsum()
+        for w, a, b in zip(words, ends - sizes, ends):
+            assert w.encode() in ranks or ids[a:b].tolist() == library.encode_ordinary(w)  # the library looks whole words up first
+
+
+def test_one_replay_a_slice(monkeypatch):
+    encoder, calls = byte_bpe.Encoder(PATH, P.PATTERN), []
+    monkeypatch.setattr(encoder.replay, "encode", lambda words, f=encoder.replay.encode: (calls.append(len(words)), f(words))[1])
+    texts = [f"shared words and own{k} ones" for k in range(50)]
+    assert len(list(encoder.slices(texts))) == 50 and calls == [len({w for t in texts for w in regex.findall(P.PATTERN, t)})]
+    monkeypatch.setattr(byte_bpe, "SLICE", 3)
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 2)
+    again = [ids.tolist() for _, ids in encoder.slices(texts)]
+    assert again == [ENCODER.encode(t).tolist() for t in texts] and len(encoder.young) + len(encoder.old) < 20
 
 
 def test_table(spark, reference):
