@@ -5,12 +5,17 @@ survives substitutions at the ignored places. Seeds of documents and of
 benchmark items are joined on their hash; around each hit the two texts are
 laid side by side (same diagonal: document position minus item position) and
 equal words are noted by their place in the item. An item is found in a document
-when the places that agree on any hit diagonal reach ``min_share`` of the item; a
-place that agrees on several diagonals, as under a repeated phrase, counts once.
+when the places that agree on the hit diagonals of one stretch of the document
+reach ``min_share`` of the item. A stretch takes in diagonals up to an item's
+length apart, so an item quoted in parts counts, while the chance hits of a long
+document don't add up; a place that agrees on several diagonals counts once.
 
-Defined cases: null or empty texts and items match nothing; items with fewer
-words than the longest mask match only by chance and never count; repeated
-items count once each under their own item_id; null item_ids are left out.
+Items of fewer than SPAN words have one seed, of all their words: they are found
+where they stand whole.
+
+Defined cases: null or empty texts and items match nothing; repeated items count
+once each under their own item_id; null item_ids are left out; of rows sharing an
+item_id each counts, and the pair's best match stands.
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The word offsets that each mask looks at.
-MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 8), (0, 1, 4, 6, 7))
+MASKS = ((0, 1, 2, 3), (0, 1, 3, 5), (0, 1, 4, 7), (0, 1, 6, 8), (0, 2, 5, 6))
 SPAN = 9
-#: Rows up to which a side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: 64-bit numbers up to which a side is broadcast (16 MB); beyond them the join shuffles.
+BROADCAST_LONGS = 2_000_000
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -34,45 +39,59 @@ def word_hashes(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def seeds(df: DataFrame, hashes: str, *keep: str) -> DataFrame:
-    """A row for each mask and window: seed, pos and the kept columns."""
-    one = [f"transform(sequence(0, size({hashes}) - {SPAN}), i -> xxhash64({k}, {', '.join(f'{hashes}[i + {o}]' for o in mask)}))" for k, mask in enumerate(MASKS)]
+def seeds(df: DataFrame, hashes: str, masks: list[tuple[int, ...]], *keep: str) -> DataFrame:
+    """A row for each mask and word: seed (null where the mask reaches beyond the end), pos and the kept columns."""
+
+    def one(mask):
+        of = f"xxhash64({', '.join([f'{len(mask)}', *map(str, mask), *(f'{hashes}[i + {o}]' for o in mask)])})"
+        return f"transform(sequence(0, size({hashes}) - 1), i -> if(i < size({hashes}) - {mask[-1]}, {of}, cast(null as bigint)))"
+
     return (
         # no filter on the size and an outer explode: a filter would be pushed down and hash every word again for each seed
-        df.select(*keep, (F.size(hashes) - (SPAN - 1)).alias("_n"), F.expr(f"if(size({hashes}) >= {SPAN}, concat({', '.join(one)}), array())").alias("_seeds"))
+        df.select(*keep, F.size(hashes).alias("_n"), F.expr(f"if(size({hashes}) > 0, concat({', '.join(map(one, masks))}), array())").alias("_seeds"))
         .select(*keep, "_n", F.posexplode_outer("_seeds").alias("_p", "seed"))
         .select(*keep, "seed", (F.col("_p") % F.col("_n")).alias("pos"))
     )
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, longs) -> DataFrame:
+    """df (cut, as it is counted), marked for broadcast if its rows hold few numbers in all."""
+    return F.broadcast(df) if (df.agg(F.sum(longs)).first()[0] or 0) <= BROADCAST_LONGS else df
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_match, n_item for each pair with a seed in common."""
     d = common.texts(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item_id is not null")
-    items = common.cut(word_hashes(items, "item", "b").select("item_id", "b"))
-    index = seeds(items, "b", "item_id").withColumnRenamed("pos", "off").distinct()
-    rows = seeds(word_hashes(d, "text", "h"), "h", "doc_id")
-    hits = rows.join(_bounded(index), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("diagonal"))
+    items = common.cut(word_hashes(items, "item", "b").where("size(b) > 0").select("item_id", "b").distinct())
+    lengths = sorted(r.n for r in items.select(F.size("b").alias("n")).where(F.col("n") < SPAN).distinct().collect())  # fewer than SPAN
+    whole = [tuple(range(n)) for n in lengths]
+    index = seeds(items.where(F.size("b") >= SPAN), "b", [*MASKS], "item_id")
+    for n, mask in zip(lengths, whole):
+        index = index.union(seeds(items.where(F.size("b") == n), "b", [mask], "item_id"))
+    index = common.cut(index.where("seed is not null").withColumnRenamed("pos", "off").distinct())
+    rows = seeds(word_hashes(d, "text", "h"), "h", [*MASKS, *whole], "doc_id")
+    hits = rows.join(_bounded(index, F.lit(3)), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("diagonal"))
     hits = common.cut(hits.distinct())
-    beside = word_hashes(d.join(_bounded(hits), "doc_id"), "text", "h").select("doc_id", "item_id", "diagonal", "h").join(_bounded(items), "item_id")
+    beside = word_hashes(d.join(_bounded(hits, F.lit(3)), "doc_id"), "text", "h").select("doc_id", "item_id", "diagonal", "h").join(_bounded(items, F.size("b") + 1), "item_id")
     # h is named twice, so that the optimizer doesn't move its making into the loop; each diagonal gives maps of 64 places
     # of the item, so that the union over many diagonals is a bounded bit_or
     first, last = "greatest(0, -diagonal)", "least(size(b), size(h) - diagonal) - 1"
     places = f"sequence(greatest({first}, k * 64), least({last}, k * 64 + 63))"
     bits = f"aggregate({places}, 0L, (a, j) -> a | if(h[diagonal + j] = b[j], shiftleft(1L, j - k * 64), 0L))"
     maps = F.expr(f"transform(sequence(cast({first} div 64 as int), cast(({last}) div 64 as int)), k -> struct(k as block, {bits} as bits))")
+    # two rows of stretches, shifted by half, so that any two diagonals an item's length apart share one
+    stretch = F.explode(F.expr("array(2L * floor(diagonal / (2 * n_item)), 2L * floor((diagonal + n_item) / (2 * n_item)) + 1)"))
     union = (
-        beside.select("doc_id", "item_id", F.size("b").alias("n_item"), maps.alias("maps"))
-        .select("doc_id", "item_id", "n_item", F.inline("maps"))
-        .groupBy("doc_id", "item_id", "n_item", "block")
+        beside.select("doc_id", "item_id", "diagonal", F.size("b").alias("n_item"), maps.alias("maps"))
+        .select("doc_id", "item_id", "n_item", stretch.alias("stretch"), "maps")
+        .select("doc_id", "item_id", "n_item", "stretch", F.inline("maps"))
+        .groupBy("doc_id", "item_id", "n_item", "stretch", "block")
         .agg(F.bit_or("bits").alias("bits"))
     )
-    totals = union.groupBy("doc_id", "item_id", "n_item").agg(F.sum(F.bit_count("bits")).alias("n_match"))
-    return totals.select("doc_id", "item_id", F.col("n_match").cast("long"), F.col("n_item").cast("long"))
+    totals = union.groupBy("doc_id", "item_id", "n_item", "stretch").agg(F.sum(F.bit_count("bits")).alias("n_match"))
+    best = totals.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_match", "n_item"), F.struct(F.col("n_match") / F.col("n_item"), "n_item")).alias("m"))
+    return best.select("doc_id", "item_id", F.col("m.n_match").cast("long").alias("n_match"), F.col("m.n_item").cast("long").alias("n_item"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.5) -> DataFrame:
