@@ -23,14 +23,16 @@ rows sharing a doc_id the one with the smallest text counts.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .sorted_runs import repeated
+from .sorted_runs import buckets_for, repeated
 
 #: Documents sampled to find frequent shingles, and most frequent shingles kept.
 SAMPLE_DOCS, FREQUENT = 16_384, 1 << 18
+#: Nodes of a token that are paired with each other in one key.
+BLOCK = 512
 K, NUM, DEN = 5, 4, 5
 ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)]
 
@@ -94,7 +96,7 @@ def frequent_shingles(d: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray
 
 
 def sets(d: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, one, two (names of the set), grp (name of prefix and size), prefix, sketch."""
+    """doc_id, n, one, two (names of the set), grp (name of prefix and size), prefix, sketch. The result is cut."""
     shared = d.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT entries
 
     def start():
@@ -118,7 +120,9 @@ def sets(d: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
         return made
 
-    return common.per_text(d, "n long, one long, two long, grp long, prefix array<long>, sketch binary", start)
+    out = common.cut(common.per_text(d, "n long, one long, two long, grp long, prefix array<long>, sketch binary", start))
+    shared.unpersist()
+    return out
 
 
 def _beside(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
@@ -140,6 +144,8 @@ def verified(pairs: DataFrame, base: DataFrame, d: DataFrame) -> DataFrame:
     Only documents of pairs that the bitmaps leave are read again, and each is cut into shingles once.
     """
 
+    common.bounded_batches(d.sparkSession)
+
     def ruled(frames):
         for f in frames:
             yield f[[may_link(*x) for x in zip(f["na"], f["nb"], f["sketcha"], f["sketchb"])]][["a", "b"]]
@@ -174,18 +180,31 @@ def _possible(na, nb, pa, pb):
     return (DEN * na >= NUM * nb) & (DEN * nb >= NUM * na) & (F.least(na - pa, nb - pb) >= least)
 
 
+def _across(mixed: DataFrame) -> DataFrame:
+    """The pairs of nodes that share a token and lie in different components.
+
+    A token's nodes are dealt over blocks of about BLOCK; each pair of blocks is a key of its own,
+    so no task pairs all nodes of a frequent token.
+    """
+    blocks = mixed.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = mixed.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    side = lambda s, one, two: dealt.withColumn("other", other).select("token", F.col("own").alias(one), F.col("other").alias(two), *[F.col(c).alias(c + s) for c in ("node", "n", "pos", "component")])
+    return side("x", "p", "q").join(side("y", "q", "p"), ["token", "p", "q"]).where("componentx < componenty")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
     d = common.texts(docs)
     frequent = frequent_shingles(d, d.count())
-    base = common.cut(sets(d, frequent))
+    base = sets(d, frequent)
     full = base.where("n > 0")
     groups = full.groupBy("grp", "n").agg(F.min("doc_id").alias("gid"), F.any_value("prefix").alias("prefix"))
     rows = groups.select("gid", "n", F.posexplode_outer("prefix").alias("pos", "token")).select("token", "gid", "n", F.col("pos").cast("long").alias("pos"))
     estimate = full.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    shared = repeated(rows, ["token"], ["gid"], estimate)
+    shared = repeated(rows, ["token"], ["gid"], buckets_for(d.sparkSession, estimate))
     nodes = common.cut(full.groupBy("grp", "n", "one", "two").agg(F.min("doc_id").alias("node")))
-    members = nodes.withColumn("gid", F.min("node").over(Window.partitionBy("grp", "n"))).select("gid", "node", "n")
+    members = nodes.join(nodes.groupBy("grp", "n").agg(F.min("node").alias("gid")), ["grp", "n"]).select("gid", "node", "n")
     wide = members.groupBy("gid").count().where("count > 1").select("gid")
     inside = members.join(wide, "gid").select(F.xxhash64("gid", F.lit(9)).alias("token"), "node", "n", F.lit(0).cast("long").alias("pos"))
     places = common.cut(shared.select("token", "gid", "pos").join(members, "gid").select("token", "node", "n", "pos").unionByName(inside))
@@ -200,8 +219,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labelled = places.join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     mixed = labelled.join(split, "token")
-    x, y = (mixed.select("token", *[F.col(c).alias(c + s) for c in ("node", "n", "pos", "component")]) for s in "xy")
-    across = x.join(y, "token").where("componentx < componenty").where(_possible(F.col("nx"), F.col("ny"), F.col("posx"), F.col("posy")))
+    across = _across(mixed).where(_possible(F.col("nx"), F.col("ny"), F.col("posx"), F.col("posy")))
     second = across.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = common.cut(verified(common.cut(second), base, d))
     final = components(links.union(more))
