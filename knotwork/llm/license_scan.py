@@ -1,19 +1,28 @@
 """License scan by diagonal voting.
 
-All rolling word pairs of all documents are hashed and joined, in Spark, to the
-places of the same pairs in a fixed table of license phrases. Hits vote for the
-diagonal (document position minus phrase position); a diagonal on which every
-pair of a base phrase hits is a place of that phrase. For the longer notices,
-neighbouring diagonals are merged, so that a few words put in or left out don't
-part them, and the merged span is verified: the share of the notice's pairs it
-holds is its score, and decides on its label.
+The rolling word k-grams of all documents are hashed and joined, in Spark, to
+the places of the same k-grams in a fixed table of templates: pairs for base
+phrases and notices of up to SHORT words, runs of four for longer notices and
+license bodies. Hits vote for the diagonal (document position minus template
+position). A diagonal on which every pair of a base phrase hits is a place of
+that phrase. For the others, neighbouring diagonals are merged as far as they
+drift no more than an eighth of the template, so that a few words put in or left
+out don't part them; a merged lane with enough votes is a candidate, and its span
+is verified: the document's words there are laid beside the template's, in
+order, and the share of the template that stands there is its score, which decides
+on its label.
 
 Defined cases: null and empty texts have no words and score 0; of rows sharing a
 doc_id the one with the smallest text counts; texts of one word match nothing.
+What one document's hits and candidates need gathers in a row, and grows with
+that text's license words only.
 """
 
 from __future__ import annotations
 
+import re
+from difflib import SequenceMatcher
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,49 +36,121 @@ BASE = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Openings of widespread notices, compared loosely, and their labels.
-NOTICES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
-    "released under the mit license": "mit",
-    "licensed under the apache license version 2 0": "apache",
-    "you may not use this file except in compliance with the license": "apache",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl",
-    "this work is licensed under the gnu general public license version 3": "gpl-3",
-    "gnu lesser general public license": "lgpl",
-    "licensed under cc by nc 4 0": "cc-by-nc",
-    "licensed under a creative commons attribution": "cc-by",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "this source code form is subject to the terms of the mozilla public license": "mpl",
-}
-#: Diagonals up to so far apart are one span; share of a notice's pairs that proves it.
-NEAR, PROOF = 2, 0.7
-
-
-def _pairs(h: np.ndarray) -> np.ndarray:
-    return common.mixed(h[:-1] * np.uint64(3) + common.mixed(h[1:])).view(np.int64)
-
-
-def phrases() -> list[tuple[int, str, str, bool]]:
-    return [(i, p, label, p in BASE) for i, (p, label) in enumerate([*BASE.items(), *NOTICES.items()])]
-
-
-def phrase_pairs(spark: SparkSession) -> DataFrame:
-    """pair, phrase, at: a few hundred rows, fixed by the tables above."""
-    rows = [(int(x), i, k) for i, p, *_ in phrases() for k, x in enumerate(_pairs(common.word_hashes(p.encode())))]
-    return spark.createDataFrame(rows, "pair long, phrase int, at int")
-
-
-def word_pairs(d: DataFrame) -> DataFrame:
-    """doc_id, n_words, pairs: the hashes of all pairs of neighbouring words."""
+#: Widespread notices and license bodies, and their labels.
+TEMPLATES = [
+    ("mit", "Released under the MIT License"),
+    ("apache", "Licensed under the Apache License, Version 2.0"),
+    ("apache", "You may not use this file except in compliance with the License"),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("agpl", "GNU Affero General Public License"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by", "Licensed under a Creative Commons Attribution"),
+    ("cc0", "CC0 1.0 Universal Public Domain Dedication"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+permission notice shall be included in all copies or substantial portions of the Software."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
+notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+materials provided with the distribution."""),
+    ("bsd-3", """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without
+specific prior written permission."""),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
+on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+limitations under the License."""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free
+Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain
+one at https://mozilla.org/MPL/2.0/."""),
+    ("boost", """Boost Software License - Version 1.0 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software"""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("cc-by", """This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit
+http://creativecommons.org/licenses/by/4.0/"""),
+]
+#: Words up to which a template is matched by pairs; the run of longer ones; diagonals up to so far apart are neighbours;
+#: share of a template's k-grams that makes a candidate, and of its words that proves it.
+SHORT, RUN, NEAR, VOTES, PROOF = 12, 4, 2, 0.25, 0.7  # a long template's neighbours: a sixteenth of its words
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text: str) -> list[str]:
+    return WORD.findall(text.translate(common.ASCII_LOWER))
+
+
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    out = np.full(max(0, len(h) - k + 1), k, np.uint64)
+    for j in range(k):
+        out = common.mixed(out * np.uint64(3) + h[j : len(h) - k + 1 + j]) if len(out) else out
+    return out.view(np.int64)
+
+
+def templates() -> list[tuple[str, list[str], bool, int]]:
+    """label, words, whether it is a base phrase, k."""
+    rows = [(label, p.split(), True) for p, label in BASE.items()] + [(label, words(t), False) for label, t in TEMPLATES]
+    return [(*r, 2 if len(r[1]) <= SHORT else RUN) for r in rows]
+
+
+def template_grams(spark: SparkSession) -> DataFrame:
+    """key, phrase, at, k: about a thousand rows, fixed by the tables above."""
+    rows = [(int(x), i, at, k) for i, (_, ws, _, k) in enumerate(templates()) for at, x in enumerate(_grams(common.word_hashes(" ".join(ws).encode()), k))]
+    return spark.createDataFrame(rows, "key long, phrase int, at int, k int")
+
+
+def word_grams(d: DataFrame) -> DataFrame:
+    """doc_id, n_words, grams: the hashes of all pairs of neighbouring words, then those of all runs of RUN."""
 
     def start():
         def made(texts):
             found = [common.word_hashes(t.encode().lower(), common.NOT_WORD) for t in texts]  # lowers A-Z only: these are bytes
-            return {"n_words": [len(h) for h in found], "pairs": [_pairs(h) for h in found]}
+            return {"n_words": [len(h) for h in found], "grams": [np.concatenate([_grams(h, 2), _grams(h, RUN)]) for h in found]}
 
         return made
 
-    return common.per_text(d, "n_words long, pairs array<long>", start)
+    return common.per_text(d, "n_words long, grams array<long>", start)
+
+
+def _candidates(votes, table) -> tuple[list, list]:
+    """(base phrases and their starts, merged lanes as phrase, first and last document position) of one document's votes."""
+    base, lanes, out = [], {}, []
+    for v in votes:
+        _, ws, is_base, k = table[v["phrase"]]
+        if not is_base:
+            lanes.setdefault(v["phrase"], []).append((v["diagonal"], v["at"]))
+        elif len(v["at"]) == len(ws) - k + 1:
+            base.append((v["phrase"], v["diagonal"]))
+    for phrase, found in lanes.items():
+        _, ws, _, k = table[phrase]
+        found.sort(key=lambda x: x[0])
+        group = []
+        for diagonal, at in [*found, (None, [])]:
+            if group and (diagonal is None or diagonal - group[-1][0] > max(NEAR, len(ws) // 16) or diagonal - group[0][0] > max(NEAR, len(ws) // 8)):
+                if len({a for _, ks in group for a in ks}) >= VOTES * (len(ws) - k + 1):
+                    # as far as the whole template would reach on these diagonals
+                    out.append((phrase, group[0][0], group[-1][0] + len(ws)))
+                group = []
+            group.append((diagonal, at))
+    return sorted(base, key=lambda x: (x[1], x[0])), sorted(out)
+
+
+def aligned(template: list[str], text: list[str], low: int, high: int) -> tuple[float, int, int]:
+    """Share of the template's words that stand in order in text[low:high], and the span from the first to the last of them."""
+    low = max(0, low)
+    blocks = [b for b in SequenceMatcher(None, template, text[low:high], autojunk=False).get_matching_blocks() if b.size]
+    if not blocks:
+        return 0.0, low, low
+    return sum(b.size for b in blocks) / len(template), low + blocks[0].b, low + blocks[-1].b + blocks[-1].size
 
 
 def licenses(docs: DataFrame) -> DataFrame:
@@ -77,54 +158,49 @@ def licenses(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = common.texts(docs)
     # the first element stands for the document, so that one without hits keeps its row and words are read once
-    rows = word_pairs(d).select("doc_id", F.posexplode(F.concat(F.array("n_words"), "pairs")).alias("i", "pair"))
+    rows = word_grams(d).select("doc_id", "n_words", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), "grams")).alias("i", "key"))
+    start = F.col("i") - 1 - F.when(F.col("k") == 2, 0).otherwise(F.greatest(F.col("n_words") - 1, F.lit(0))) - F.col("at")
     hits = (
-        rows.withColumn("key", F.when(F.col("i") > 0, F.col("pair")))
-        .join(F.broadcast(phrase_pairs(spark).withColumnRenamed("pair", "key")), "key", "left")
+        rows.join(F.broadcast(template_grams(spark)), "key", "left")
         .where("i = 0 or phrase is not null")
-        .groupBy("doc_id", "phrase", (F.col("i") - 1 - F.col("at")).alias("diagonal"))
-        .agg(F.collect_set("at").alias("at"), F.max(F.when(F.col("i") == 0, F.col("pair"))).alias("n"))
+        .groupBy("doc_id", "phrase", start.alias("diagonal"))
+        .agg(F.collect_set("at").alias("at"), F.max("n_words").alias("n"))
         .groupBy("doc_id")
         .agg(F.max("n").alias("n_words"), F.collect_list(F.when(F.col("phrase").isNotNull(), F.struct("phrase", "diagonal", "at"))).alias("votes"))
     )
-    table = {i: (len(p.split()), label, base) for i, p, label, base in phrases()}
-
-    def spans(votes):
-        base, found, by = [], [], {}
-        for v in votes:
-            size, label, is_base = table[v["phrase"]]
-            if is_base:
-                if len(v["at"]) == size - 1:
-                    base.append((v["phrase"], v["diagonal"]))
-            else:
-                by.setdefault(v["phrase"], []).append((v["diagonal"], v["at"]))
-        for phrase, lanes in by.items():
-            size, label, _ = table[phrase]
-            lanes.sort(key=lambda x: x[0])
-            group = []
-            for diagonal, at in [*lanes, (None, [])]:
-                if group and (diagonal is None or diagonal - group[-1][0] > NEAR):
-                    score = len({k for _, ks in group for k in ks}) / (size - 1)
-                    if score >= PROOF:
-                        places = [x + k for x, ks in group for k in ks]
-                        found.append((label, min(places), max(places) + 2, score))
-                    group = []
-                group.append((diagonal, at))
-        return sorted(base, key=lambda x: (x[1], x[0])), sorted(found)
-
-    def finish(frames):
+    table = templates()
+
+    def vote(frames):
         for f in frames:
-            both = [spans(v) for v in f["votes"]]
+            both = [_candidates(v, table) for v in f["votes"]]
             f["base"] = [[{"phrase": p, "start": s} for p, s in b] for b, _ in both]
-            f["found"] = [[{"label": x[0], "start": x[1], "end": x[2], "score": x[3]} for x in y] for _, y in both]
-            yield f[["doc_id", "n_words", "base", "found"]]
+            f["spans"] = [[{"phrase": p, "low": a, "high": b} for p, a, b in c] for _, c in both]
+            yield f[["doc_id", "n_words", "base", "spans"]]
+
+    voted = common.cut(hits.mapInPandas(vote, "doc_id long, n_words long, base array<struct<phrase:int,start:long>>, spans array<struct<phrase:int,low:long,high:long>>"))
+    some = voted.where(F.size("spans") > 0).select("doc_id", "spans")
 
-    return hits.mapInPandas(finish, "doc_id long, n_words long, base array<struct<phrase:int,start:long>>, found array<struct<label:string,start:long,end:long,score:double>>")
+    def verify(frames):
+        for f in frames:
+            out = []
+            for text, spans in zip(f["text"], f["spans"]):
+                ws = words(text or "")
+                checked = [(table[s["phrase"]][0], *aligned(table[s["phrase"]][1], ws, s["low"], s["high"])) for s in spans]
+                kept = []  # of spans of one label that overlap the best stands
+                for k, x, a, b in sorted((c for c in checked if c[1] >= PROOF), key=lambda c: (-c[1], c)):
+                    if not any(k == label and a < end and start < b for label, start, end, _ in kept):
+                        kept.append((k, a, b, x))
+                out.append([dict(zip(("label", "start", "end", "score"), x)) for x in sorted(kept)])
+            yield f[["doc_id"]].assign(found=out)
+
+    texts = d.join(common.small(some.select("doc_id")), "doc_id", "left_semi")
+    found = texts.join(some, "doc_id").mapInPandas(verify, "doc_id long, found array<struct<label:string,start:long,end:long,score:double>>")
+    return voted.select("doc_id", "n_words", "base").join(found, "doc_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<label:string,start:long,end:long,score:double>>")))
 
 
 def query(spark, sf_dir):
     out = licenses(common.documents(spark, sf_dir))
-    names = F.create_map(*[F.lit(x) for i, _, label, base in phrases() if base for x in (i, label)])
+    names = F.create_map(*[F.lit(x) for i, (label, _, base, _) in enumerate(templates()) if base for x in (i, label)])
     base_labels = F.array_distinct(F.transform("base", lambda b: names[b["phrase"]]))
     return out.select(
         "doc_id",

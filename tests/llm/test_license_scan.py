@@ -1,0 +1,40 @@
+import random
+import re
+
+from knotwork.llm import common, license_scan
+
+
+def test_cases(spark):
+    mit = license_scan.TEMPLATES[9][1]
+    cut = mit.split()
+    docs = {
+        0: None, 1: "", 2: "GNU General-Public license, gnu general public license", 3: "Released under the MIT License.", 4: "cc",
+        5: "you may not ever use this file except in compliance with the License", 6: "x " * 100_000 + "CC BY",
+        7: "/* " + mit.upper().replace("\n", "\n * ") + " */", 8: " ".join(cut[:40] + ["and", "so", "on"] + cut[40:70] + cut[74:]), 9: " ".join(cut[:25]),
+        10: " ".join(cut[::-1]), 11: "Licensed under the Apache License, Version 2.0",
+    }
+    table = spark.createDataFrame([(k, v, 1) for k, v in docs.items()] + [(None, "cc by", 1), (3, "zz", 1), (3, "Released under the MIT License.", 1)], "doc_id long, text string, phrase int")
+    got = {x.doc_id: x for x in license_scan.licenses(table).collect()}
+    assert sorted(got) == sorted(docs) and got[0].n_words == got[1].n_words == 0
+    assert [b.start for b in got[2].base] == [0, 4] and [b.start for b in got[6].base] == [100_000]
+    assert {f.label for f in got[5].found} == {"apache"} and not got[5].base and not got[4].found and not got[0].base
+    assert [(f.label, f.start, f.score) for f in got[7].found] == [("mit", 0, 1.0)]
+    assert [f.label for f in got[8].found] == ["mit"] and 0.9 < got[8].found[0].score < 1
+    assert not got[9].found and not got[10].found
+    assert [(f.label, f.start, f.end) for f in got[11].found] == [("apache", 0, 8)]
+    assert license_scan.licenses(table.limit(0)).count() == 0
+
+
+def test_base_equals_brute_force(spark):
+    r = random.Random(9)
+    pool = "gnu general public license apache cc by mit the CC BY License MIT é xyz".split()
+    docs = {k: "".join(r.choice(pool) + r.choice([" ", "-", "\n", ", ", " é "]) for _ in range(r.randint(0, 80))) for k in range(300)}
+    got = {x.doc_id: x for x in license_scan.licenses(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    names = [p for p in license_scan.BASE]
+    total = 0
+    for k, text in docs.items():
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(common.ASCII_LOWER))
+        want = sorted((i, p) for p in names for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split())
+        assert sorted((b.start, names[b.phrase]) for b in got[k].base) == want and got[k].n_words == len(ws)
+        total += len(want)
+    assert total > 300

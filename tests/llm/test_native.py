@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from knotwork.llm import decontamination, license_scan, line_dedup
+from knotwork.llm import decontamination, line_dedup
 
 
 def test_line_dedup(spark):
@@ -42,13 +42,3 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(i, " ".join(x).upper()) for i, x in enumerate(items)] + [(50, None), (51, "a b"), (None, "a b c")], "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in decontamination.contaminated(table, bench).collect()} == want
     assert decontamination.contaminated(table.limit(0), bench).count() == 0 == decontamination.contaminated(table, bench.limit(0)).count()
-
-
-def test_license_scan(spark):
-    docs = {0: None, 1: "", 2: "GNU General-Public license, gnu general public license", 3: "Released under the MIT License.", 4: "cc", 5: "you may not ever use this file except in compliance with the License", 6: "x " * 100_000 + "CC BY"}
-    table = spark.createDataFrame([(k, v, 1) for k, v in docs.items()] + [(None, "cc by", 1)], "doc_id long, text string, phrase int")
-    got = {x.doc_id: x for x in license_scan.licenses(table).collect()}
-    assert sorted(got) == sorted(docs) and got[0].n_words == got[1].n_words == 0
-    assert [b.start for b in got[2].base] == [0, 4] and [b.start for b in got[6].base] == [100_000]
-    assert {f.label for f in got[5].found} == {"apache"} and not got[5].base and not got[4].found and not got[0].base
-    assert license_scan.licenses(table.limit(0)).count() == 0
