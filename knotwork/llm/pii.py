@@ -10,6 +10,9 @@ only the neighbourhoods of those need the search; elsewhere "no entity" is the
 sole path. Its weights are trained on the driver, from generated sentences, by
 gradient ascent on the conditional likelihood (forward-backward over segments).
 
+Entities are bounded: one of more than NEAR characters or MOST tokens, such as a
+signed web token or a key file in lines, can't be a span of the field.
+
 Defined cases: null and empty texts have no spans; repeated rows give equal
 rows; a field's span that overlaps a base span is dropped; positions are code
 points.
@@ -274,4 +277,4 @@ def query(spark, sf_dir):
     out = personal_data(common.documents(spark, sf_dir))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in BASE]
-    return out.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), F.size("spans").cast("long").alias("n_spans"), listed("spans").alias("spans"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import example, given, settings
@@ -36,3 +37,38 @@ def test_table(spark):
     out = {r.doc_id: r for r in pii.personal_data(docs).collect()}
     assert sorted(out) == [1, 2, 3, 4] and out[2].spans == out[3].spans == []
     assert [tuple(s) for s in out[1].spans] == [("email", 23, 29), ("phone", 7, 21)] and [tuple(s) for s in out[4].base] == [("email", 400_000, 400_006)]
+    assert pii.personal_data(docs.limit(0)).count() == 0
+    clashing = spark.createDataFrame([(1, "a@b.co", 5), (1, "a@b.co", 5), (1, "c", 6)], "doc_id long, text string, spans int")
+    assert sorted(len(r.spans) for r in pii.personal_data(clashing).collect()) == [0, 1, 1]
+
+
+def test_search_equals_all_segmentations():
+    """The dynamic programme finds the best of all ways to part a text into segments, under random weights."""
+    r = random.Random(4)
+    for _ in range(200):
+        text = " ".join(r.choice(["1", "ab", "x@y", "33-4", "(at)", "z"]) for _ in range(r.randint(1, 4)))
+        tokens = [t.span() for t in pii.TOKEN.finditer(text)][:7]
+        field = pii.Field({})
+        ends = field.segments(text, tokens)
+        for e in ends:
+            for _, fs in e:
+                for k in pii.TYPES[1:]:
+                    for f in fs:
+                        field.weights.setdefault((k, f), r.uniform(-2, 3))
+        score = {(i, j): max((field.score(k, fs), k) for k in pii.TYPES[1:]) for j, e in enumerate(ends) for i, fs in e}
+
+        def best(j):
+            """Of the first j tokens: score and spans."""
+            if j == 0:
+                return 0.0, []
+            s, spans = best(j - 1)
+            for i in range(j):
+                if (i, j) in score:
+                    t, before = best(i)
+                    if t + score[i, j][0] > s:
+                        s, spans = t + score[i, j][0], [*before, (score[i, j][1], tokens[i][0], tokens[j - 1][1])]
+            return s, spans
+
+        got = field.best(text, tokens)
+        total = sum(score[next(i for i, t in enumerate(tokens) if t[0] == a), next(j for j, t in enumerate(tokens, 1) if t[1] == b)][0] for _, a, b in got)
+        assert abs(total - best(len(tokens))[0]) < 1e-9
