@@ -1,13 +1,17 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon entries (a fixed list of common insults, and word beginnings
-induced from training labels) and patterns. A generative label model estimates,
-by expectation maximisation, how often each voter fires under either label;
-correlated voters share their weight. Its posteriors, not the labels, train a
-linear classifier over word beginnings, which scores every whole text.
+Voters are lexicon entries (fixed lists of common insults in four languages, and
+word beginnings induced from training labels) and patterns. Voters whose votes
+hang together beyond what the label explains form a group. A generative label
+model has, for either label, the chance of each number of firing voters in each
+group, so that correlations within a group are parameters of the model and
+copies of one voter count as one; expectation maximisation estimates it. Its
+posteriors, not the labels, train a linear classifier over word beginnings,
+which scores every whole text.
 
 Labels are read only from rows whose crc32(doc_id as text) mod 5 is not 0, and
-from at most ``sample`` of them (those with the smallest hash of doc_id).
+from at most ``sample`` of them (those with the smallest hash of doc_id). At most
+VOTERS beginnings vote and FEATURES are weighed, those that tell most.
 
 Defined cases: null and empty texts score what the classifier's bias gives;
 unlabelled rows count for nothing in training; without labelled rows, or with
@@ -26,14 +30,24 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Common insults (English).
-INSULTS = "clown disgusting dumb dumbass garbage idiot idiots imbecile jerk loser moron morons pathetic scum stupid trash worthless".split()
+#: Common insults by language.
+INSULTS_BY_LANGUAGE = {
+    "en": "clown disgusting dumb dumbass garbage idiot idiots imbecile jerk loser moron morons pathetic scum stupid trash worthless",
+    "de": "abschaum arschloch dumm dummkopf ekelhaft erbärmlich idiot müll nichtsnutz trottel versager wertlos widerlich",
+    "es": "asqueroso basura despreciable escoria estúpido estúpida idiota imbécil inútil patético payaso tonto",
+    "fr": "abruti clown crétin dégoûtant idiot imbécile minable ordure pathétique pourri stupide vaurien",
+}
+INSULTS = list(dict.fromkeys(w for ws in INSULTS_BY_LANGUAGE.values() for w in ws.split()))
 PATTERNS = {"address": re.compile(r"\byou(?:'re| are)? (?:an? )?(?:\w+ )?(?:idiot|moron|loser|clown)"), "shout": re.compile(r"\b[A-Z]{4,}\b.*!{2,}")}
 WORDS = re.compile(r"[^\W\d_]+")
 #: Most labelled rows used, lengths of word beginnings, voters induced, beginnings in the classifier, and the standard errors each must stand out by.
 SAMPLE, HEADS, VOTERS, FEATURES, CERTAIN = 6_000, (4, 5, 6, 7, 99), 500, 1_500, 3
 
 
+#: Words whose weights a task remembers; others are looked up again.
+REMEMBERED = 60_000
+
+
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
@@ -47,36 +61,52 @@ def _tokens(text: str) -> set[str]:
     return set(WORDS.findall(text.lower()))
 
 
-def label_model(votes: np.ndarray, fired: np.ndarray, rows: np.ndarray, prior: float, rounds: int = 20) -> np.ndarray:
+#: Residual correlation from which voters share a group, states of a group (0, 1, 2, 3 or more votes), and the rows that the labels count for as a prior.
+JOINED, STATES, PRIOR_ROWS = 0.6, 4, 200
+
+
+def groups(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The group of each voter: single linkage over correlations that remain within the labels."""
+    cov = np.zeros((votes.shape[1],) * 2)
+    for label in (0, 1):
+        side = votes[labels == label]
+        left = side - side.mean(0) if len(side) else side
+        cov += left.T @ left
+    scale = np.sqrt(cov.diagonal() + 1)  # a row's worth of no correlation
+    near, group = cov / np.outer(scale, scale) > JOINED, np.arange(votes.shape[1])
+    np.fill_diagonal(near, True)
+    while True:
+        least = np.where(near, group[None, :], len(group)).min(1)
+        if (least == group).all():
+            return np.unique(group, return_inverse=True)[1]
+        group = least
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20) -> np.ndarray:
     """Posterior of label 1 for each row of votes (1: the voter says toxic, 0: it abstains).
 
-    A voter fires at one rate under label 0 and another under label 1, each with a
-    Beta prior that ``fired`` (2 x voters) and ``rows`` (2) give as pseudo-counts;
-    expectation maximisation over all rows estimates them. Abstaining counts too,
-    so a row without votes is likelier clean than the prior says. The voters'
-    correlations, beyond what the label explains, divide their weights, so copies
-    of one voter count about once.
+    The labels shape the groups and, as a prior worth PRIOR_ROWS rows, the chances of a group's
+    states under either label; expectation maximisation over all rows does the rest. Abstaining is
+    a state as well, so a row without votes is likelier clean than the share of toxic rows says.
     """
-    rates = (fired + 0.5) / (rows[:, None] + 1)
-    weight = np.ones(votes.shape[1])
-    post = np.zeros(len(votes))
+    group = groups(votes, labels)
+    n_groups, n = group.max() + 1, len(votes)
+    sums = np.zeros((n, n_groups), np.int32)
+    np.add.at(sums.T, group, votes.T.astype(np.int32))
+    at = np.minimum(sums, STATES - 1) + STATES * np.arange(n_groups)  # the state of each group as one number
+    count = lambda w: np.bincount(at.ravel(), np.repeat(w, n_groups), STATES * n_groups) + 0.5 / STATES
+    share = lambda c: c.reshape(n_groups, STATES) / c.reshape(n_groups, STATES).sum(1, keepdims=True)
+    sides = [(labels == label).astype(float) for label in (0, 1)]
+    prior = [share(count(w)) * min(PRIOR_ROWS, w.sum()) for w in sides]
+    base = min(0.5, max(1, sides[1].sum()) / n)
+    post, chance = np.zeros(n), [share(p.ravel()) for p in prior]
     for _ in range(rounds):
-        fires = np.log(rates[1] / rates[0])
-        stays = np.log((1 - rates[1]) / (1 - rates[0]))
-        odds = np.log(prior / (1 - prior)) + (weight * stays).sum() + votes @ (weight * (fires - stays))
+        odds = np.log(base / (1 - base)) + np.log(chance[1] / chance[0]).ravel()[at].sum(1)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         done, post = np.abs(new - post).max() < 1e-4, new
         if done:
             break
-        cov = np.zeros((votes.shape[1],) * 2)
-        for label, side in enumerate((1 - post, post)):
-            rates[label] = (fired[label] + side @ votes + 0.5) / (rows[label] + side.sum() + 1)
-            left = votes - side @ votes / max(1e-9, side.sum())
-            cov += (left * side[:, None]).T @ left
-        scale = np.sqrt(cov.diagonal() + 1)  # a row's worth of no correlation
-        corr = np.clip(cov / np.outer(scale, scale), 0, 1)
-        np.fill_diagonal(corr, 1)
-        weight = 1 / (corr * (corr > 0.6)).sum(0)
+        chance = [share(count(w) + p.ravel()) for w, p in zip((1 - post, post), prior)]
     return post
 
 
@@ -107,7 +137,7 @@ def train(rows: list[tuple[str, list[int], int]]) -> tuple[dict[str, float], flo
     votes = votes[:, votes.any(0)]
     if not votes.size or not labels.any() or labels.all():
         return {w + "$": 6.0 for w in INSULTS}, -3.0
-    post = label_model(votes, np.stack([(1 - labels) @ votes, labels @ votes]), np.array([neg, pos]), min(0.5, pos / (pos + neg))).astype(np.float32)
+    post = label_model(votes, labels).astype(np.float32)
     # log odds over their standard error: what chance explains is no feature, and can't add up in long texts
     odds = {h: abs(np.log((b + 0.5) / pos) - np.log((a + 0.5) / neg)) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) for h, (a, b) in counts.items()}
     features = {h: j for j, h in enumerate(sorted((h for h in odds if odds[h] >= CERTAIN or h in always and sum(counts[h])), key=lambda h: (-odds[h], h))[:FEATURES])}
@@ -136,6 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     chosen = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen.collect()], "doc_id long, toxic int")  # at most sample rows
 
+    common.bounded_batches(spark)
+
     def words(frames):
         for f in frames:
             yield f[["doc_id", "toxic"]].assign(words=[" ".join(sorted(_tokens(t or ""))) for t in f["text"]], patterns=[[int(bool(p.search(t or ""))) for p in PATTERNS.values()] for t in f["text"]])
@@ -152,7 +184,7 @@ class Contributions(dict):
         self.weights = weights
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = out = frozenset(h for h in heads(word) if h in self.weights)
         return out

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from knotwork.llm import toxicity
 
@@ -40,5 +41,35 @@ def test_abstaining_is_evidence_for_clean():
     import numpy as np
 
     votes = np.array([[1, 1, 0]] * 10 + [[0, 0, 0]] * 30, np.float32)
-    post = toxicity.label_model(votes, np.array([[0, 0, 0], [10, 10, 0]]), np.array([30, 10]), 0.25)
+    post = toxicity.label_model(votes, np.array([1] * 10 + [0] * 30))
     assert (post[:10] > 0.9).all() and (post[10:] < 0.1).all()
+
+
+def test_copies_of_a_voter_count_once():
+    """Ten copies of a voter that is wrong on some rows don't outvote two voters that are right."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    labels = (r.random(2000) < 0.3).astype(int)
+    noisy = (np.where(labels == 1, 0.6, 0.3) > r.random(2000)).astype(np.float32)
+    good = [(np.where(labels == 1, 0.9, 0.05) > r.random(2000)).astype(np.float32) for _ in range(2)]
+    votes = np.stack([noisy] * 10 + good, 1)
+    assert len(set(toxicity.groups(votes, labels).tolist())) == 3
+    one = toxicity.label_model(np.stack([noisy, *good], 1), labels)
+    many = toxicity.label_model(votes, labels)
+    assert np.abs(one - many).max() < 0.05 and ((many > 0.5) == labels).mean() > 0.93
+
+
+def test_held_out_labels_change_no_score(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(3, 8)))
+    docs = [(i, " ".join([word() for _ in range(20)] + ["scum", "idiot"] * (i % 4 == 0))) for i in range(200)]
+    table = spark.createDataFrame([*docs, (3, "x " * 100_000), (7, "another text of 7")], "doc_id long, text string")
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert len(held) > 20
+    out = []
+    for flip in (False, True):
+        labels = [(i, int((i % 4 == 0) ^ (flip and i in held))) for i, _ in docs]
+        model = toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        out.append(sorted((x.doc_id, x.score) for x in toxicity.scores(table, model).collect()))
+    assert out[0] == out[1] and len(out[0]) == 202
