@@ -1,0 +1,158 @@
+"""The stages and the whole of corpus_pipeline.py against plain versions."""
+
+import base64
+import hashlib
+import random
+import re
+
+import public_tokenizers as P
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from knotwork.llm import toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, component_id long, row int"
+PLAIN = lambda w: "".join(c.lower() if c < "\x80" else c for c in w)
+
+
+def rows():
+    """Toxic texts, repeated lines, near copies, benchmark passages, nulls, empty and long texts, repeated ids, all with clashing columns."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijk", k=r.randint(3, 7)))
+    passage = [word() for _ in range(30)]
+    lines = [" ".join(word() for _ in range(6)) for _ in range(5)]
+    bases = [[word() for _ in range(60)] for _ in range(4)]
+    out, labels = {0: None, 1: "", 2: " \n ", 3: "long " * 30_000}, []
+    for i in range(4, 220):
+        w = [word() for _ in range(40)]
+        if i % 6 == 0:
+            w[5:5] = r.choice([["you", "stupid", "idiot"], ["scum", "moron"]])
+        if i % 7 == 1:
+            w = list(r.choice(bases))
+            w[r.randrange(60)] = word()
+        if i % 11 == 2:
+            w[20:20] = passage
+        out[i] = " ".join(w) + ("\n" + "\n".join(r.sample(lines, 2)) if i % 5 == 0 else "")
+        if i % 3:
+            labels.append((i, int(i % 6 == 0)))
+    labels += [(i, int(i % 6 == 0)) for i in range(6, 220, 6)]
+    table = [(k, v, "en", "s", len(v or ""), 0.5, "x", 7, 1) for k, v in out.items()]
+    again = [(5, "zz later text", "en", "s", 3, None, None, 1, 2), (1, "", "de", "s", 0, 0.5, "x", 7, 1), (None, "no id", "en", "s", 5, 0.5, "x", 7, 1)]
+    return table + again, labels, [(1, " ".join(passage)), (2, "short item"), (None, "a b")]
+
+
+def plain_one(table):
+    """Of rows that share an id the one with the smallest text."""
+    best = {}
+    for row in table:
+        if row[0] is not None:
+            k = (row[1] is not None, row[1] or "", str(row[2:]))
+            if row[0] not in best or k < best[row[0]][0]:
+                best[row[0]] = (k, row)
+    return {i: row for i, (_, row) in best.items()}
+
+
+def plain_lines(docs):
+    key = lambda line: PLAIN(line.strip(" \t\n\x0b\x0c\r"))
+    first = {}
+    for i in sorted(docs):
+        for line in (docs[i] or "").split("\n"):
+            first.setdefault(key(line), i)
+    return {i: None if t is None else "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or first[key(x)] == i) for i, t in docs.items()}
+
+
+def plain_near(docs):
+    sets = {}
+    for i, t in docs.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", PLAIN(t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    up = {i: i for i in docs}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in docs:
+        for b in docs:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {i: t for i, t in docs.items() if root(i) == i}
+
+
+def plain_leaks(docs, items):
+    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", PLAIN(t or "")) if w]
+    out = {}
+    for i, t in docs.items():
+        text = f" {' '.join(split(t))} "
+        if not any(f" {' '.join(split(item))} " in text for k, item in items if k is not None):  # these documents hold items whole or not at all
+            out[i] = t
+    return out
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("corpus"))
+    table, labels, items = rows()
+    spark.createDataFrame(table, SCHEMA).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return at
+
+
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def texts(df):
+    got = [(r.doc_id, r.text) for r in df.collect()]
+    assert len(got) == len(dict(got)) and df.columns == [c.split()[0] for c in SCHEMA.split(", ")]
+    return dict(got)
+
+
+def test_stages_and_whole(spark, folder):
+    table, labels, items = rows()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    one = plain_one(table)
+    model = toxicity.fit(corpus_pipeline._one_row_an_id(docs), spark.read.parquet(f"{folder}/labels.parquet"))
+
+    def rejected(t):
+        heads = set().union(*(toxicity.heads(w) for w in re.findall(r"[^\W\d_]+", (t or "").lower())))
+        return model[1] + sum(model[0].get(h, 0) for h in heads) >= 0
+
+    clean = {i: row[1] for i, row in one.items() if not rejected(row[1])}
+    kept = stage("toxicity")(spark, docs, folder)
+    assert texts(kept) == clean and 150 < len(clean) < len(one)
+    toxic = {i for i, row in one.items() if re.search("idiot|moron", row[1] or "")}
+    assert len(toxic & set(clean)) <= 2 and len(one) - len(toxic | set(clean)) <= 2
+    assert {r.doc_id: tuple(r) for r in kept.collect()} == {i: one[i] for i in clean}  # other columns go with their row
+
+    kept = spark.createDataFrame(kept.collect(), SCHEMA)
+    lines = plain_lines(clean)
+    deduped = stage("line_dedup")(spark, kept, folder)
+    assert texts(deduped) == lines and lines != clean
+    assert all(r.n_chars == len(r.text or "") and r.component_id == 7 for r in deduped.collect())
+
+    near = plain_near(lines)
+    single = stage("ngram_jaccard_join")(spark, spark.createDataFrame(deduped.collect(), SCHEMA), folder)
+    assert texts(single) == near and len(near) < len(lines) - 10
+
+    left = plain_leaks(near, items)
+    last = stage("decontamination")(spark, spark.createDataFrame(single.collect(), SCHEMA), folder)
+    assert texts(last) == left and len(left) < len(near)
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {i: (ids := library.encode_ordinary(t or ""), len(ids), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in left.items()}
+    whole = {r.doc_id: (r.ids, r.n_tokens, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect()}
+    assert whole == want
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_small_tables(spark, folder, name):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert stage(name)(spark, empty, folder).count() == 0
+    nulls = spark.createDataFrame([(1, None, None, None, None, None, None, None, None), (2, "", None, None, None, None, None, None, None)], SCHEMA)
+    assert sorted(r.doc_id for r in stage(name)(spark, nulls, folder).collect()) == [1, 2]
