@@ -1,30 +1,31 @@
 """A training-data pipeline over the documents table, one operator a stage.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
-documents. A stage's result is written as Parquet and read again as the next
-one's docs. Rows without a doc_id go in the first stage, and of rows that share
-one the row with the smallest text (null before any) stays.
+documents, extra ones included. A stage's result is written as Parquet in the
+shared folder of spark.checkpoint.dir and read again as the next one's docs.
+Rows without a doc_id go in the first stage, and of rows that share one the row
+with the smallest text (null before any) stays; where texts are equal too, the
+one whose other columns come first as text.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm import byte_bpe, common, decontamination, line_dedup, ngram_join, toxicity
 
-#: SQL can't express a trained classifier; the stages are tested against plain versions instead.
+#: SQL can't express a trained classifier; the stages and the whole are tested against plain versions instead.
 ORACLE_SQL = None
 
 
 def _one_row_an_id(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-        docs = docs.withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
+        order = F.struct(F.col("text").isNotNull(), "text", F.to_json(F.struct(*sorted(docs.columns))))
+        docs = docs.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
     return docs
 
 
@@ -42,10 +43,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; text and n_chars are what stays. A null text stays null."""
     docs = _one_row_an_id(docs)
-    out = line_dedup.apply_bitmaps(docs.select("doc_id", "text"), line_dedup.keep_bitmaps(docs)).select("doc_id", F.when(F.col("text").isNotNull(), F.col("kept")).alias("text"))
-    rest = docs.drop("text")
-    new = rest.join(out, "doc_id")
-    return new.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(docs.columns) if "n_chars" in docs.columns else new.select(docs.columns)
+    out = line_dedup.apply_bitmaps(docs.select("doc_id", "text"), line_dedup.keep_bitmaps(docs))
+    new = docs.drop("text").join(out.select("doc_id", F.when(F.col("text").isNotNull(), F.col("kept")).alias("text")), "doc_id")
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+    return new.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,16 +78,20 @@ STAGES = [
 ]
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared}/pipeline-{uuid.uuid4().hex}"
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
-    folder = _folder(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole documents table. Of what the stages wrote only the last one's rows stay, as the result reads them."""
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        at = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+        if before:
+            _delete(spark, before)
+        before = at
     return docs
