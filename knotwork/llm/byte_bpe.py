@@ -4,9 +4,9 @@ A task takes a slice of the corpus at a time, many texts or a block of a very
 long one, collects its distinct words, and replays the merges over all of them
 at once: an inverted index from token pair to the places of that pair is worked
 off in rank order, and a merge touches only its neighbours. Texts are then
-gathered from the ids of their words. Words of the last slices are remembered
-within bounds, and the older half is forgotten first. No corpus-wide vocabulary
-goes through the driver or one task.
+gathered from the ids of their words. Nothing is kept from slice to slice, so a
+task's memory is that of one slice. No corpus-wide vocabulary goes through the
+driver or one task.
 
 Defined cases: null and empty texts have no tokens; repeated rows give equal
 rows; ids decode to the very bytes of the text.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from heapq import heappop, heappush
 from itertools import islice
 
@@ -25,8 +26,11 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Characters of a slice, words of a slice and of a block of one text, words after which a generation of remembered ones ends, and the longest word remembered.
-CHARS, SLICE, BLOCK, REMEMBERED, LONGEST = 1 << 22, 1_000_000, 200_000, 40_000, 64
+#: Characters of a slice, words of a slice and of a block of one text.
+CHARS, SLICE, BLOCK = 1 << 21, 500_000, 100_000
+
+#: Places indexed at a time.
+PART = 1 << 17
 
 KINDS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
 
@@ -40,20 +44,22 @@ class MergeReplay:
         self.single = np.array([ranks[bytes([b])] for b in range(256)])
         self.pieces = [b""] * (max(ranks.values()) + 1)
         self.bits = len(self.pieces).bit_length()
-        self.merges: dict[int, int] = {}
+        pairs, made = array("q"), array("q")
         for token, rank in ranks.items():
             self.pieces[rank] = token
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    self.merges[a << self.bits | b] = rank
-        self.pairs = np.sort(np.fromiter(self.merges, np.int64, len(self.merges)))
-        self.made = np.array([self.merges[p] for p in self.pairs.tolist()] or [0], np.int64)
+                    pairs.append(a << self.bits | b)
+                    made.append(rank)
+        order = np.argsort(np.frombuffer(pairs, np.int64)) if pairs else np.zeros(0, np.int64)
+        self.pairs = np.array(pairs, np.int64)[order]
+        self.made = np.array(made, np.int64)[order] if pairs else np.zeros(1, np.int64)
         self.none = len(self.pieces)  # above every rank
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs and the ranks of what they make; ``none`` for a pair that makes nothing."""
-        pair = (left << self.bits) | right
+        pair = (left.astype(np.int64) << self.bits) | right
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.made) - 1)
         fits = (self.pairs[at] == pair) & (left >= 0) & (right >= 0) if len(self.pairs) else np.zeros(len(pair), bool)
         return pair, np.where(fits, self.made[at], self.none)
@@ -62,7 +68,7 @@ class MergeReplay:
         """The ids of all words, one word after the other, and how many each has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes) + np.arange(1, len(words) + 1)  # no pair crosses -1, which stands before and after each word
-        token = np.full(int(sizes.sum()) + len(words) + 1, -1, np.int64)
+        token = np.full(int(sizes.sum()) + len(words) + 1, -1, np.int32)
         inside = np.ones(len(token), bool)
         inside[0] = inside[ends] = False
         token[inside] = self.single[np.frombuffer(b"".join(words), np.uint8)]
@@ -72,7 +78,7 @@ class MergeReplay:
 
     def _replay(self, token: np.ndarray) -> None:
         """Apply all merges to token in place; places that a merge takes become -2."""
-        after, before = np.arange(1, len(token) + 1), np.arange(-1, len(token) - 1)
+        after, before = np.arange(1, len(token) + 1, dtype=np.int32), np.arange(-1, len(token) - 1, dtype=np.int32)
         places: dict[int, list[np.ndarray]] = {}  # the inverted index
         waiting: dict[int, list[int]] = {}  # rank to the pairs in the index that make it
         queue: list[int] = []
@@ -94,14 +100,16 @@ class MergeReplay:
                     waiting[r] = [key]
                     heappush(queue, r)
 
-        add(np.arange(len(token) - 1), *self._ranks(token[:-1], token[1:]))
+        for a in range(0, len(token) - 1, PART):  # in parts, so that no copy is as large as the slice
+            left, right = token[a : a + PART], token[a + 1 : a + 1 + PART]
+            add(np.arange(a, a + len(right), dtype=np.int32), *self._ranks(left[: len(right)], right))
         while queue:
             rank = heappop(queue)
             keys = waiting.pop(rank)
             p = np.concatenate([x for pair in keys for x in places.pop(pair)])
             p.sort()
             q = after[p]
-            pair = (token[p] << self.bits) | token[q]
+            pair = (token[p].astype(np.int64) << self.bits) | token[q]
             fits = pair == keys[0]  # else a neighbour's merge has taken one side
             for key in keys[1:]:
                 fits |= pair == key
@@ -141,12 +149,10 @@ class MergeReplay:
 
 
 class Encoder:
-    """Texts to ids, a slice at a time, with a bounded memory of words."""
+    """Texts to ids, a slice at a time."""
 
     def __init__(self, path: str, pattern: str):
         self.replay, self.pattern = MergeReplay(path), regex.compile(pattern)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def _blocks(self, text: str):
         if len(text) < 4 * BLOCK:
@@ -156,27 +162,13 @@ class Encoder:
         while words := list(islice(stream, BLOCK)):
             yield words
 
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of a slice's distinct words: all ids, and how many each word has. What isn't remembered is replayed at once."""
-        known = [self.young.get(w) or self.old.get(w) for w in words]
-        new = [j for j, b in enumerate(known) if b is None]
-        ids, sizes = self.replay.encode([words[j].encode() for j in new])
-        ends = 4 * np.cumsum(sizes)
-        raw = ids.tobytes()
-        for j, a, b in zip(new, (ends - 4 * sizes).tolist(), ends.tolist()):
-            known[j] = raw[a:b]
-        self.young.update((w, b) for w, b in zip(words, known) if len(w) <= LONGEST)
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        return np.frombuffer(b"".join(known), "<u4"), np.fromiter((len(b) >> 2 for b in known), np.int64, len(known))
-
     def slices(self, texts: list[str]):
         """(number of the text, ids) in order; a long text in several parts."""
         index: dict[str, int] = {}
         pieces, held = [], 0
 
         def flush():
-            flat, sizes = self._ids(list(index))
+            flat, sizes = self.replay.encode([w.encode() for w in index])
             starts = np.cumsum(sizes) - sizes
             for i, ix in pieces:
                 n = sizes[ix]
