@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..cases.lexicon import STATE_OF
+
 #: Weights of the two check digits of a company number.
 COMPANY_WEIGHTS = (5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2)
 
@@ -41,19 +43,28 @@ def local_number(c: Column) -> Column:
     return F.when(F.length(d).isin(10, 11), d)
 
 
+def phone(local: Column) -> Column:
+    """Struct number (international), kind and state of a number in local form; null for an unknown area code or an impossible number."""
+    area, rest = F.substring(local, 1, 2), F.substring(local, 3, 9)
+    kind = F.when(rest.rlike("^9[0-9]{8}$"), "mobile").when(rest.rlike("^[2-5][0-9]{7}$"), "landline")
+    state = F.try_element_at(F.create_map(*[F.lit(x) for kv in STATE_OF.items() for x in kv]), area)
+    return F.when(kind.isNotNull() & state.isNotNull(), F.struct(F.concat(F.lit("+55"), local).alias("number"), kind.alias("kind"), state.alias("state")))
+
+
 #: Titles and short forms whose dot ends no sentence.
 SHORT_FORMS = "Av|Dr|Dra|Sr|Sra|Prof|Profa|Cia|Ltd|Exmo|Exma"
 
 
-def sentences(c: Column) -> Column:
+def sentences(c: Column, keep_parentheses: bool = True) -> Column:
     """X1's split: after . ! or ? before a space and a capital, quote or parenthesis, or at blank lines; single newlines are spaces.
 
-    A parenthesis after a legal form's dot, as in "Ltda. (CNPJ ...)", stays with the company. F15 comes first: S.A. becomes SA. and short forms lose their dot.
+    With keep_parentheses one after a legal form's dot, as in "Ltda. (CNPJ ...)", stays with the company. F15 comes first: S.A. becomes SA. and short forms lose their dot.
     """
     start = r"(?<![\p{L}\p{N}_])"
     c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\r", ""), start + r"S\.\s?A\.?", "SA."), rf"{start}({SHORT_FORMS})\.", "$1")
     flat = F.regexp_replace(F.regexp_replace(c, "\n{2,}", "\x01"), "\n", " ")
-    marked = F.regexp_replace(flat, "([.!?]) +([A-ZÀ-Ú\"“]|(?<!(?:Ltda|LTDA|SA|S/A|ME|EPP|EIRELI|Eireli)\\. {1,9})\\()", "$1\x01$2")
+    start = "[A-ZÀ-Ú\"“]|(?<!(?:Ltda|LTDA|SA|S/A|ME|EPP|EIRELI|Eireli)\\. {1,9})\\(" if keep_parentheses else "[A-ZÀ-Ú\"“(]"
+    marked = F.regexp_replace(flat, rf"([.!?])\s+({start})", "$1\x01$2")
     return F.filter(F.transform(F.split(marked, "\x01", -1), lambda s: F.trim(s)), lambda s: s != "")
 
 

@@ -7,11 +7,11 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cases.lexicon import CALL_COLUMNS
 from ..functions import scalars
 
-#: Kinds of node by their name in registry files, and the columns of call records.
+#: Kinds of node by their name in registry files.
 KINDS = {"pessoa": "person", "empresa": "company", "consorcio": "consortium", "consorcio / scp": "consortium", "telefone": "phone", "email": "email", "e-mail": "email", "endereco": "address"}
-CALL_COLUMNS = {"a": ("origem", "de", "chamador", "numero_a"), "b": ("destino", "para", "chamado", "numero_b"), "at": ("data", "data_hora", "inicio", "datahora"), "length": ("duracao", "segundos", "tempo")}
 
 
 def _header(name: str) -> str:
@@ -64,6 +64,15 @@ def registry(spark: SparkSession, path: str, source: str) -> DataFrame:
     return out.select("de", "para", F.lit(3).alias("weight"), "label", F.coalesce("f", F.lit(source)).alias("source"), scalars.flexible_date(F.col("d"))["day"].alias("day"))
 
 
+#: Forms of a call's time.
+FORMS = ("yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d H:m", "d/M/yyyy H:m:s", "d/M/yyyy H:m", "yyyy-M-d", "d/M/yyyy")
+
+
+def timestamp(c: Column) -> Column:
+    """the first form that takes the whole text."""
+    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in FORMS])
+
+
 def call_records(spark: SparkSession, path: str) -> DataFrame:
     """A, b, n, seconds, first, last, night of each directed pair; bad numbers and self-calls drop out."""
     rows = table_file(spark, path)
@@ -71,23 +80,22 @@ def call_records(spark: SparkSession, path: str) -> DataFrame:
     if not (found["a"] and found["b"]):
         raise ValueError("no columns of origin and destination")
     get = lambda k: F.col(found[k]) if found[k] else F.lit(None).cast("string")
-    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy-MM-dd", "dd/MM/yyyy")
-    at = F.coalesce(*[F.try_to_timestamp(F.trim(get("at")), F.lit(f)) for f in forms])
+    at = timestamp(get("at"))
     calls = rows.select(scalars.local_number(get("a")).alias("a"), scalars.local_number(get("b")).alias("b"), at.alias("at"), scalars.seconds(get("length")).alias("length")).where("a <> b")
     night = (F.hour("at") >= 22) | (F.hour("at") < 5)
     return calls.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("length").alias("seconds"), F.min("at").alias("first"), F.max("at").alias("last"), F.count_if(night).alias("night"))
 
 
 def vcards(spark: SparkSession, path: str) -> DataFrame:
-    """Name, tels, emails, org of each card; folded lines are joined, groups and parameters ignored."""
+    """Card (its number), name, tels, emails, org of each card; folded lines are joined, groups and parameters ignored."""
     text = F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n[ \t]", "")
-    cards = spark.read.text(path, wholetext=True).select(F.explode(F.slice(F.split(text, "(?i)BEGIN:VCARD"), 2, 2**31 - 1)).alias("card"))
-    lines = F.split("card", "\n")
+    cards = spark.read.text(path, wholetext=True).select(F.posexplode(F.slice(F.split(text, "(?i)BEGIN:VCARD"), 2, 2**31 - 1)).alias("card", "body"))
+    lines = F.split("body", "\n")
     of = lambda field: F.transform(F.filter(lines, lambda x: x.rlike(rf"(?i)^([^.:;]+\.)?{field}[;:]")), lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", "")))
     n = F.split(F.try_element_at(of("N"), F.lit(1)), ";")
     given = F.trim(F.concat_ws(" ", F.try_element_at(n, F.lit(2)), F.try_element_at(n, F.lit(1))))
     tels = F.filter(F.transform(of("TEL"), scalars.local_number), lambda x: x.isNotNull())
-    return cards.select(F.coalesce(F.try_element_at(of("FN"), F.lit(1)), given).alias("name"), tels.alias("tels"), of("EMAIL").alias("emails"), F.try_element_at(of("ORG"), F.lit(1)).alias("org"))
+    return cards.select("card", F.coalesce(F.try_element_at(of("FN"), F.lit(1)), given).alias("name"), tels.alias("tels"), of("EMAIL").alias("emails"), F.try_element_at(of("ORG"), F.lit(1)).alias("org"))
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
