@@ -12,7 +12,7 @@ from ..functions import scalars
 
 _CAP = r"[A-ZÀ-Ú][\wà-ú&'-]*"
 _LINK = r"(?:d[aeo]s?|e)"
-#: Patterns by kind, in order of precedence; all but person are structural (high confidence).
+#: Patterns by kind, in order of precedence; all but person are structural (high confidence).
 PATTERNS = {
     "company_number": r"\b\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}\b",
     "person_number": r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b",
@@ -23,7 +23,7 @@ PATTERNS = {
     "company": rf"\b{_CAP}(?: (?:(?:{_LINK}|&) )?{_CAP}){{0,5}} (?:Ltda|LTDA|S\.?A|S/A|ME|EPP|EIRELI|Eireli)\b\.?",
     "person": rf"\b{_CAP}(?: (?:{_LINK} )?{_CAP}){{1,4}}",
 }
-#: Words cut off the start of a name, and first words no person's name has.
+#: Words cut off the start of a name, and first words no person's name has.
 LEADING = frozenset("O A Os As Um Uma Em No Na Segundo Para".split())
 NO_PERSON = frozenset("Ministério Secretaria Prefeitura Governo Tribunal Polícia Banco Universidade Rio São Santa Grupo Consórcio Rua Avenida".split())
 OWNERS, IDENTIFIERS = ("person", "company", "consortium"), ("email", "phone", "address")
@@ -93,8 +93,9 @@ def entities(found: DataFrame) -> DataFrame:
 
 
 def merge_suggestions(known: DataFrame) -> DataFrame:
-    """A, b: persons with the same first and last name, one's names all among the other's. Never merged by themselves."""
-    names = F.split(F.substring_index("id", ":", -1), " ")
-    p = known.where("kind = 'person'").select("id", names.alias("n")).where(F.size("n") >= 2).withColumn("f", F.concat_ws(" ", F.col("n")[0], F.element_at("n", -1)))
-    pairs = p.toDF("a", "x", "f").join(p.toDF("b", "y", "f"), "f").where("a < b")
-    return pairs.where((F.size(F.array_except("x", "y")) == 0) | (F.size(F.array_except("y", "x")) == 0)).select("a", "b")
+    """A, b: one name's words all among the other's; persons with the same first and last word, organisations with two words or more. Never merged by themselves."""
+    from ..cases.resolving import alike_names
+
+    key = F.substring_index("id", ":", -1)
+    keys = known.select(F.lit("").alias("case_id"), "kind", key.alias("key"), F.lit(0).cast("long").alias("first"), F.lit(False).alias("documented"), key.alias("root"), "id")
+    return alike_names(keys).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

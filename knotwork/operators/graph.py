@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,39 @@ def kind(column: str):
     return F.substring_index(column, ":", 1)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder that spark.checkpoint.dir names; a local session may do without and gets a temporary one."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
+#: Rows of a key that are paired with each other in one key.
+BLOCK = 512
+
+
+def block_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """All pairs of rows with node < node among those of one key: by, and every other column twice, as _x and _y.
+
+    A key's rows are dealt over blocks of about BLOCK and each pair of blocks is a key of its own, so
+    no task pairs all rows of a frequent key. Rows are distinct by (by, node).
+    """
+    rows = checkpointed(rows)
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_rows")).where("_rows > 1").withColumn("_blocks", F.ceil(F.col("_rows") / BLOCK).cast("int")).drop("_rows")
+    dealt = rows.join(sizes, by).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    rest = [c for c in rows.columns if c not in by]
+
+    def side(s, one, two):
+        return dealt.withColumn("_other", other).select(*by, F.col("_own").alias(one), F.col("_other").alias(two), *[F.col(c).alias(f"{c}_{s}") for c in rest])
+
+    return side("x", "_p", "_q").join(side("y", "_q", "_p"), [*by, "_p", "_q"]).where("node_x < node_y").drop("_p", "_q")
+
+
 def adjacency(links: DataFrame) -> DataFrame:
     """Src, dst, weight in both directions, the strongest link of a pair; loops drop out."""
     both = links.select("de", "para", "weight").union(links.select("para", "de", "weight")).toDF("src", "dst", "weight")
@@ -33,9 +68,14 @@ def _pivot(owned: DataFrame) -> DataFrame:
     return totals.withColumn("strength", F.col("score") / (F.col("owners") - 1))
 
 
-def shared_identifiers(links: DataFrame, identifiers=("part", "address")) -> DataFrame:
-    """G3 (i): identifiers that two owners or more share: node, owners, score, strength (unrounded)."""
-    return _pivot(links.where(kind("para").isin(*identifiers)).select(F.col("para").alias("node"), F.col("de").alias("owner"), "weight"))
+def shared_identifiers(links: DataFrame, identifiers=("part", "address"), label: str = "partner") -> DataFrame:
+    """G3 (i), G2: identifiers that two owners or more share, two independent parties among them: node, owners, score, strength (unrounded)."""
+    from .signals import independent_parties
+
+    owned = links.where(kind("para").isin(*identifiers)).select(F.col("para").alias("node"), F.col("de").alias("owner"), "weight")
+    partners = links.where(F.col("label") == label).select(F.col("de").alias("person"), F.col("para").alias("company"))
+    apart = independent_parties(owned.where(kind("node").isin(*identifiers)), partners).where("parties > 1").select("node")
+    return _pivot(owned.join(apart, "node", "left_semi"))
 
 
 def common_partners(links: DataFrame, label: str = "partner") -> DataFrame:
@@ -48,12 +88,10 @@ def overlap(links: DataFrame, owner: str, shared: str, least: int = 2) -> DataFr
 
     Neighbours of one owner alone are dropped before pairs are made.
     """
-    near = links.where((kind("de") == owner) & (kind("para") == shared)).groupBy("de", "para").agg(F.max("weight").alias("weight"))
+    near = checkpointed(links.where((kind("de") == owner) & (kind("para") == shared)).groupBy("de", "para").agg(F.max("weight").alias("weight")))
     size = near.groupBy("de").agg(F.count("*").alias("size"))
-    several = near.groupBy("para").count().where("count > 1").select("para")
-    pushed = near.join(several, "para")
-    x, y = pushed.toDF("para", "a", "wa"), pushed.toDF("para", "b", "wb")
-    pairs = x.join(y, "para").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(F.least("wa", "wb")).alias("weight")).where(F.col("common") >= least)
+    each = block_pairs(near.select("para", F.col("de").alias("node"), "weight"), ["para"])
+    pairs = each.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("common"), F.sum(F.least("weight_x", "weight_y")).alias("weight")).where(F.col("common") >= least)
     both = pairs.join(size.toDF("a", "sa"), "a").join(size.toDF("b", "sb"), "b")
     return both.select("a", "b", "common", "weight", (F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))).alias("jaccard"))
 
@@ -106,43 +144,84 @@ def components(edges: DataFrame) -> DataFrame:
 
     Least labels with pointer jumping: a few joins a round, rounds grow with the logarithm of the diameter.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().checkpoint()
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")).checkpoint()
+    both = checkpointed(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
+    labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")))
     while True:
         near = both.join(labels, both.dst == labels.node).groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        moved = stepped.join(jump, "component", "left").select("node", F.coalesce("up", "component").alias("component"), "was").checkpoint()
+        moved = checkpointed(stepped.join(jump, "component", "left").select("node", F.coalesce("up", "component").alias("component"), "was"))
         labels = moved.select("node", "component")
         if moved.where("component <> was").limit(1).count() == 0:
             return labels
 
 
+def _steps(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", F.when(F.col("weight") == 3, 2).when(F.col("weight") == 2, 3).otherwise(6).cast("long").alias("step"))
+
+
 def path_costs(edges: DataFrame, start: str) -> DataFrame:
-    """Node, cost, hops of the strongest-evidence path from start; a step costs 2, 3 or 6 by class 3, 2, 1.
+    """Node, cost, hops of the strongest-evidence path from start; a step costs 2, 3 or 6 by class 3, 2, 1. Nothing for an unknown start.
 
     Each round relaxes only the nodes that improved in the last one.
     """
-    steps = edges.select("src", "dst", F.when(F.col("weight") == 3, 2).when(F.col("weight") == 2, 3).otherwise(6).cast("long").alias("step")).checkpoint()
-    spark = edges.sparkSession
-    best = spark.createDataFrame([(start, 0, 0)], "node string, cost long, hops long")
+    steps = checkpointed(_steps(edges))
+    best = checkpointed(steps.where(F.col("src") == start).limit(1).select(F.col("src").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("hops")))
     frontier = best
     while True:
         reached = frontier.join(steps, frontier.node == steps.src).select(F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), (F.col("hops") + 1).alias("hops"))
         new = reached.groupBy("node").agg(F.min(F.struct("cost", "hops")).alias("n"))
         old = best.select("node", F.struct("cost", "hops").alias("o"))
-        merged = old.join(new, "node", "full").select("node", F.least("o", "n").alias("b"), (F.col("o").isNull() | (F.col("n") < F.col("o"))).alias("better")).checkpoint()
+        merged = checkpointed(old.join(new, "node", "full").select("node", F.least("o", "n").alias("b"), (F.col("o").isNull() | (F.col("n") < F.col("o"))).alias("better")))
         best = merged.select("node", "b.cost", "b.hops")
         frontier = merged.where("better").select("node", "b.cost", "b.hops")
         if frontier.limit(1).count() == 0:
             return best
 
 
+def predecessors(edges: DataFrame, costs: DataFrame) -> DataFrame:
+    """Node, before: of the neighbours from which a node is reached at its cost and hops the cheapest, then the smallest."""
+    far = costs.select(F.col("node").alias("src"), F.col("cost").alias("c"), F.col("hops").alias("h"))
+    tight = _steps(edges).join(far, "src").join(costs, F.col("dst") == F.col("node")).where("c + step = cost and h + 1 = hops")
+    return tight.groupBy("node").agg(F.min(F.struct("c", "src")).alias("m")).select("node", F.col("m.src").alias("before"))
+
+
+def cheapest_path(edges: DataFrame, links: DataFrame, start: str, end: str) -> DataFrame | None:
+    """Hop, de, para, weight, label, source of the cheapest path; each hop by its strongest link, then label. None if there is none; no rows if start is end.
+
+    links: de, para, weight, label and sources. The way back is followed hop by hop, so what reaches the driver is the path.
+    """
+    costs = checkpointed(path_costs(edges, start))
+    if not costs.where(F.col("node") == end).limit(1).count():
+        return None
+    before, way = checkpointed(predecessors(edges, costs)), [end]
+    while way[-1] != start:
+        way.append(before.where(F.col("node") == way[-1]).first().before)
+    way.reverse()
+    hops = edges.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(way, way[1:]))], "hop int, x string, y string")
+    on = (F.least("de", "para") == F.least("x", "y")) & (F.greatest("de", "para") == F.greatest("x", "y"))
+    found = links.join(F.broadcast(hops), on).groupBy("hop", "x", "y").agg(F.min(F.struct((-F.col("weight")).alias("w"), "label", "de", F.element_at("sources", 1).alias("source"))).alias("l"))
+    return found.select("hop", F.col("x").alias("de"), F.col("y").alias("para"), (-F.col("l.w")).alias("weight"), "l.label", "l.source").orderBy("hop")
+
+
+#: Numbers a bucket of islands spans.
+SPAN = 1 << 16
+
+
 def islands(numbers: DataFrame, gap: int = 10) -> DataFrame:
-    """Runs of neighbouring numbers in a group (grp, number), at most ``gap`` apart, of two or more: grp, low, high, n."""
-    w = Window.partitionBy("grp").orderBy("number")
-    flagged = numbers.distinct().withColumn("new", F.when(F.col("number") - F.lag("number").over(w) <= gap, 0).otherwise(1))
-    runs = flagged.withColumn("run", F.sum("new").over(w)).groupBy("grp", "run").agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("n"))
+    """Runs of neighbouring numbers in a group (grp, number), at most ``gap`` apart, of two or more: grp, low, high, n.
+
+    Windows run within buckets of SPAN numbers; only each bucket's last number and last beginning of a run go on to the next ones.
+    """
+    rows = checkpointed(numbers.select("grp", "number").distinct().withColumn("bucket", F.floor(F.col("number") / SPAN)))
+    inside = Window.partitionBy("grp", "bucket").orderBy("number")
+    along = Window.partitionBy("grp").orderBy("bucket")
+    highest = rows.groupBy("grp", "bucket").agg(F.max("number").alias("high")).withColumn("earlier", F.lag("high").over(along)).select("grp", "bucket", "earlier")
+    before = F.coalesce(F.lag("number").over(inside), "earlier")
+    begun = rows.join(highest, ["grp", "bucket"]).withColumn("begin", F.when(before.isNull() | (F.col("number") - before > gap), F.col("number")))
+    begun = checkpointed(begun.withColumn("run", F.last("begin", True).over(inside)))
+    carried = begun.groupBy("grp", "bucket").agg(F.max("begin").alias("last")).withColumn("carry", F.last("last", True).over(along.rowsBetween(Window.unboundedPreceding, -1))).select("grp", "bucket", "carry")
+    runs = begun.join(carried, ["grp", "bucket"]).groupBy("grp", F.coalesce("run", "carry").alias("low")).agg(F.max("number").alias("high"), F.count("*").alias("n"))
     return runs.where("n >= 2").select("grp", "low", "high", "n")
 
 
@@ -154,15 +233,15 @@ def communities(links: DataFrame, sweeps: int = 50) -> DataFrame:
     neighbours swap labels for ever and every step is one join and two aggregations.
     Isolated nodes have no row.
     """
-    near = adjacency(links).checkpoint()
-    labels = near.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")).checkpoint()
+    near = checkpointed(adjacency(links))
+    labels = checkpointed(near.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
     still = 0
     for half in range(2 * sweeps):
         moving = F.pmod(F.xxhash64("node"), F.lit(2)) == half % 2
         votes = near.join(labels.toDF("dst", "vote"), "dst").groupBy(F.col("src").alias("node"), "vote").agg(F.sum("weight").alias("w"))
         own = labels.where(moving).join(votes, "node").withColumn("rank", F.struct(-F.col("w"), F.col("vote") != F.col("label"), "vote"))
         new = own.groupBy("node").agg(F.min("rank")["vote"].alias("new"))
-        merged = labels.join(new, "node", "left").select("node", F.coalesce("new", "label").alias("label"), F.col("label").alias("was")).checkpoint()
+        merged = checkpointed(labels.join(new, "node", "left").select("node", F.coalesce("new", "label").alias("label"), F.col("label").alias("was")))
         still = 0 if merged.where("label <> was").limit(1).count() else still + 1
         labels = merged.select("node", "label")
         if still == 2:
@@ -171,36 +250,79 @@ def communities(links: DataFrame, sweeps: int = 50) -> DataFrame:
     return labels.join(names, "label").select("node", "community")
 
 
-def betweenness(links: DataFrame, most: int = 300, exact: int = 800) -> DataFrame:
-    """Node, betweenness (unweighted, normalised by (n-1)(n-2)) of the nodes that have links.
+def _sweeps(edges, most: int = 50):
+    """node, community of one component's edges (src, dst, weight): nodes in order take the label their neighbours weigh most, their own on a tie, else the smallest."""
+    near: dict[str, dict[str, int]] = {}
+    for a, b, w in zip(edges["src"], edges["dst"], edges["weight"]):
+        near.setdefault(a, {})[b] = w
+    label = {v: v for v in near}
+    for _ in range(most):
+        moved = False
+        for v in sorted(near):
+            votes: dict[str, int] = {}
+            for u, w in near[v].items():
+                votes[label[u]] = votes.get(label[u], 0) + w
+            best = max(votes.values())
+            if votes.get(label[v]) != best:
+                label[v], moved = min(k for k, w in votes.items() if w == best), True
+        if not moved:
+            break
+    first: dict[str, str] = {}
+    for v in sorted(label):
+        first.setdefault(label[v], v)
+    return [(v, first[k]) for v, k in label.items()]
+
+
+def ordered_communities(links: DataFrame, most: int = 20_000) -> DataFrame:
+    """Node, community as communities(), but one node after another in the order of their names, as far as that can be dealt out.
+
+    Components don't touch each other's labels, so each one of up to ``most`` nodes is swept in a task
+    of its own; the nodes of larger ones move half at a time, as in communities().
+    """
+    import pandas as pd
+
+    near = checkpointed(adjacency(links))
+    parts = checkpointed(components(near))
+    large = parts.groupBy("component").count().where(F.col("count") > most).select("component")
+    of = near.join(parts.withColumnRenamed("node", "src"), "src")
+    swept = of.join(large, "component", "left_anti").groupBy("component").applyInPandas(lambda f: pd.DataFrame(_sweeps(f), columns=["node", "community"]), "node string, community string")
+    if not large.limit(1).count():
+        return swept
+    rest = of.join(large, "component", "left_semi")
+    return swept.union(communities(rest.select(F.col("src").alias("de"), F.col("dst").alias("para"), "weight")))
+
+
+def betweenness(links: DataFrame, most: int = 300, exact: int = 800, isolated: DataFrame | None = None) -> DataFrame:
+    """Node, betweenness (unweighted, normalised by (n-1)(n-2)) of the nodes that have links, and of those of ``isolated`` (node).
 
     Exact up to ``exact`` nodes; beyond, from about ``most`` sources picked by hash and scaled
     up. All sources advance together: a level is one join and one aggregation over (source,
     node), forward to count shortest paths and backward to share them out.
     """
-    near = adjacency(links).select("src", "dst").checkpoint()
-    nodes = near.select(F.col("src").alias("node")).distinct()
+    near = checkpointed(adjacency(links).select("src", "dst"))
+    nodes = near.select(F.col("src").alias("node"))
+    nodes = checkpointed((nodes.union(isolated.select("node")) if isolated is not None else nodes).distinct())
     n = nodes.count()
     if n <= 2:
         return nodes.withColumn("betweenness", F.lit(0.0))
     starts = nodes if n <= exact else nodes.where(F.pmod(F.xxhash64("node"), F.lit(-(-n // most))) == 0)
-    seen = starts.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")).checkpoint()
-    picked, depth = max(1, seen.count()), 0
+    levels = [checkpointed(starts.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
+    picked = max(1, levels[0].count())
     while True:
-        front = seen.where(F.col("d") == depth)
-        step = front.join(near, front.node == near.src).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        new = step.join(seen.select("s", "node"), ["s", "node"], "left_anti").select("s", "node", F.lit(depth + 1).alias("d"), "paths").checkpoint()
+        step = levels[-1].join(near, levels[-1].node == near.src).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        for level in levels[-2:]:  # a neighbour lies one level before, in the same one or after
+            step = step.join(level.select("s", "node"), ["s", "node"], "left_anti")
+        new = checkpointed(step)
         if new.limit(1).count() == 0:
             break
-        seen, depth = seen.union(new).checkpoint(), depth + 1
+        levels.append(new)
     # shares of the deepest level are 0; each level passes (1 + share) back over its shortest paths
-    shares = seen.where(F.col("d") == depth).select("s", "node", "paths", F.lit(0.0).alias("share"))
+    shares = levels[-1].withColumn("share", F.lit(0.0))
     total = shares.select("node", "share").where("false")
-    for d in range(depth - 1, 0, -1):
+    for level in levels[-2:0:-1]:
         back = shares.join(near, shares.node == near.dst).select("s", F.col("src").alias("node"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
         parts = back.groupBy("s", "node").agg(F.sum("part").alias("part"))
-        level = seen.where(F.col("d") == d).join(parts, ["s", "node"], "left")
-        shares = level.select("s", "node", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")).checkpoint()
+        shares = checkpointed(level.join(parts, ["s", "node"], "left").select("s", "node", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
         total = total.union(shares.select("node", "share"))
     scale = n / picked / ((n - 1) * (n - 2))
     sums = total.groupBy("node").agg((F.sum("share") * scale).alias("b"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .extraction import IDENTIFIERS, OWNERS
 
-#: Cues, case-insensitive, matched on the whole sentence (kin: on what stands between two persons).
+#: Cues, case-insensitive, matched on the whole sentence (kin: on what stands between two persons).
 CUES = {
     "partner": r"(?i)s[óo]ci[oa]s?|administrador|diretor|propriet[áa]ri[oa]|don[oa] d[aeo]",
     "member": r"(?i)integra|formad[oa] p|comp[õo]e|participa",

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..cases.lexicon import STATES
 from ..functions import scalars
 from ..operators import graph
 from ..sources.tables import LINKS_SQL, links, node, table
@@ -24,16 +23,18 @@ def query(name: str, sql: str | None = None, with_links: bool = False):
     return register
 
 
-def _checkpoints(spark) -> None:
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 PIVOT_SQL = """, owned as (select {node} as node, {owner} as owner, max(weight) as weight from links where {where} group by 1, 2)
 select node, count(*)::bigint as owners, sum(weight)::bigint as score, sum(weight)::double / (count(*) - 1) as strength from owned group by node having count(*) >= 2"""
 
 
-@query("pivots_shared_identifier", PIVOT_SQL.format(node="para", owner="de", where="para like 'part:%' or para like 'address:%'"), True)
+PARTIES_SQL = """, own as (select distinct para as node, de as owner from links where para like 'part:%' or para like 'address:%'),
+ties as (select distinct o.node, p.de as x, p.para as y from own o join links p on p.label = 'partner' and p.de = o.owner join own q on q.node = o.node and q.owner = p.para),
+near as (select node, x, y from ties union all select node, y, x from ties),
+walk as (select node, owner, owner as part from own union select w.node, n.y, w.part from walk w join near n on n.node = w.node and n.x = w.owner),
+apart as (select node from (select node, owner, min(part) as part from walk group by 1, 2) group by 1 having count(distinct part) > 1)"""
+
+
+@query("pivots_shared_identifier", "with recursive " + LINKS_SQL + PARTIES_SQL + PIVOT_SQL.format(node="para", owner="de", where="(para like 'part:%' or para like 'address:%') and para in (select node from apart)"))
 def _(spark, sf):
     return graph.shared_identifiers(links(spark, sf))
 
@@ -146,7 +147,7 @@ def _(spark, sf):
 @query("shared_contacts", f"with c as (select distinct a, b from ({CALLS}) where b is not null) select x.a as a, y.a as b, count(*)::bigint as n from c x join c y on x.b = y.b and x.a < y.a group by 1, 2")
 def _(spark, sf):
     c = calls(spark, sf).where("b is not null").select("a", "b").distinct()
-    return c.toDF("x", "k").join(c.toDF("y", "k"), "k").where("x < y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"))
+    return graph.block_pairs(c.select("b", F.col("a").alias("node")), ["b"]).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("n"))
 
 
 @query("dispersion_regions", """, h as (select p.de as owner, n_regionkey as region from links p join links a on p.para = a.de and a.label = 'located' and p.label = 'partner' join nation on a.para = 'address:' || n_nationkey)
@@ -184,16 +185,32 @@ def _(spark, sf):
     return _padded(spark, sf, 11).withColumn("valid", scalars.person_number_valid(F.col("d")))
 
 
-@query("phone_normalise", """with p as (select o_orderkey as key, '+55 (' || (11 + o_orderkey % 80)::varchar || ') 9' || lpad((o_orderkey % 100000000)::varchar, case when o_orderkey % 3 = 0 then 7 else 8 end, '0') as phone from orders),
+PHONES_SQL = """with p as (select o_orderkey as key, '+55 (' || (11 + o_orderkey % 80)::varchar || ') 9' || lpad((o_orderkey % 100000000)::varchar, case when o_orderkey % 3 = 0 then 7 else 8 end, '0') as phone from orders),
 d as (select key, phone, regexp_replace(phone, '[^0-9]', '', 'g') as d from p), e as (select key, phone, case when length(d) in (12, 13) and d like '55%' then substr(d, 3, 11) else d end as d from d)
-select key, phone, case when length(d) in (10, 11) then d end as local from e""")
-def _(spark, sf):
+"""
+
+
+def _phones(spark, sf):
     k = F.col("o_orderkey")
     tail = F.when(k % 3 == 0, F.lpad((k % 100000000).cast("string"), 7, "0")).otherwise(F.lpad((k % 100000000).cast("string"), 8, "0"))
     phone = F.concat(F.lit("+55 ("), (11 + k % 80).cast("string"), F.lit(") 9"), tail)
     return table(spark, sf, "orders").select(k.alias("key"), phone.alias("phone")).withColumn("local", scalars.local_number(F.col("phone")))
 
 
+@query("phone_normalise", PHONES_SQL + "select key, phone, case when length(d) in (10, 11) then d end as local from e")
+def _(spark, sf):
+    return _phones(spark, sf)
+
+
+AREAS_SQL = "areas as (select unnest(string_split(codes, ' ')) as area, state from (values " + ", ".join(f"('{state}', '{codes}')" for state, codes in STATES.items()) + ") as t(state, codes))"
+
+
+@query("phone_info", PHONES_SQL + ", " + AREAS_SQL + """ select key, '+55' || d as number, case when length(d) = 11 then 'mobile' else 'landline' end as kind, state
+from e join areas on substr(d, 1, 2) = area where (length(d) = 11 and substr(d, 3, 1) = '9') or (length(d) = 10 and substr(d, 3, 1) between '2' and '5')""")
+def _(spark, sf):
+    return _phones(spark, sf).select("key", scalars.phone(F.col("local")).alias("p")).where("p is not null").select("key", "p.*")
+
+
 @query("doc_sha256", "select doc_id, sha256(text) as sha256 from documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
@@ -221,19 +238,11 @@ SMALL_SQL = """, small as (select de as src, para as dst, weight from links wher
 adj as (select src, dst, max(weight) as weight from (select src, dst, weight from small union all select dst, src, weight from small) group by 1, 2)"""
 
 
-def _whole_links(spark, sf):
-    """Every link, for iterative operators."""
-    _checkpoints(spark)
-    return links(spark, sf)
-
-
 def _small_links(spark, sf):
     """The filtered graph of the recursive SQL (SMALL_SQL): suppliers, nations, and parts of one size."""
     parts = table(spark, sf, "part").where("p_size = 7").select(node("part", "p_partkey").alias("para"))
     g = links(spark, sf).select("de", "para", "weight", "label")
-    kept = g.where("label = 'located'").where(graph.kind("de") == "company").union(g.where("label = 'supplies'").join(parts, "para", "left_semi").select("de", "para", "weight", "label"))
-    _checkpoints(spark)
-    return kept
+    return g.where("label = 'located'").where(graph.kind("de") == "company").union(g.where("label = 'supplies'").join(parts, "para", "left_semi").select("de", "para", "weight", "label"))
 
 
 def _small(spark, sf):
@@ -258,12 +267,12 @@ def _(spark, sf):
 
 @query("connected_components_whole")
 def _(spark, sf):
-    return graph.components(graph.adjacency(_whole_links(spark, sf)))
+    return graph.components(graph.adjacency(links(spark, sf)))
 
 
 @query("shortest_path_cost_whole")
 def _(spark, sf):
-    return graph.path_costs(graph.adjacency(_whole_links(spark, sf)), "company:1")
+    return graph.path_costs(graph.adjacency(links(spark, sf)), "company:1")
 
 
 from . import reports  # noqa: E402,F401  (it registers its queries)

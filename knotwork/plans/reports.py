@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..cases import analysing, building
 from ..functions import scalars
 from ..operators import export, extraction, graph, integrity, relations, signals
 from ..sources import importers
 from ..sources.tables import links, node, table
 from ..streaming.calls import windowed_pairs
-from .registry import OVERLAP_SQL, _checkpoints, _whole_links, calls, query
+from .registry import OVERLAP_SQL, calls, query
 
 EDGES_SQL = ", e as (select de, para, weight, label, count(*)::bigint as n, min(day)::varchar as first_day, array_to_string(list_sort(list(distinct source)), '|') as sources from links group by 1, 2, 3, 4)"
 NODES_SQL = ", v as (select node, split_part(node, ':', 1) as kind, count(*)::bigint as degree from (select de as node from links union all select para from links) group by 1)"
@@ -107,7 +108,6 @@ def _(spark, sf):
 @query("independent_parties")
 def _(spark, sf):
     """Owners of an address; a person and the companies they are partner of count once."""
-    _checkpoints(spark)
     g = links(spark, sf)
     return signals.independent_parties(g.where("label = 'located'").select(F.col("para").alias("node"), F.col("de").alias("owner")), g.where("label = 'partner'").select(F.col("de").alias("person"), F.col("para").alias("company")))
 
@@ -144,23 +144,23 @@ def _(spark, sf):
 
 @query("communities")
 def _(spark, sf):
-    return graph.communities(_whole_links(spark, sf))
+    return graph.communities(links(spark, sf))
 
 
 @query("betweenness")
 def _(spark, sf):
-    return graph.betweenness(_whole_links(spark, sf))
+    return graph.betweenness(links(spark, sf))
 
 
 @query("bridges")
 def _(spark, sf):
-    g = _whole_links(spark, sf)
+    g = links(spark, sf)
     return graph.bridges(graph.betweenness(g), graph.communities(g), g)
 
 
 def _mentions(spark, sf):
     sents = extraction.sentences(table(spark, sf, "documents").select("doc_id", "text"))
-    return sents, extraction.mentions(sents)
+    return sents, graph.checkpointed(extraction.mentions(sents))  # read by several branches
 
 
 @query("text_mentions")
@@ -181,3 +181,38 @@ def _(spark, sf):
 @query("merge_suggestions")
 def _(spark, sf):
     return extraction.merge_suggestions(extraction.entities(_mentions(spark, sf)[1]))
+
+
+def _case(spark, sf):
+    """All documents of a language as the reports of one case."""
+    docs = table(spark, sf, "documents").where("doc_id is not null")
+    return building.build(spark, [], docs.select(F.coalesce("lang", F.lit("")).alias("case_id"), F.col("doc_id").alias("src"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("source"), "text"))
+
+
+@query("case_entities")
+def _(spark, sf):
+    return _case(spark, sf).entities.drop("ord")
+
+
+@query("case_links")
+def _(spark, sf):
+    return _case(spark, sf).links.drop("ord")
+
+
+@query("case_pivots")
+def _(spark, sf):
+    return analysing.pivots(_case(spark, sf).links)
+
+
+@query("cheapest_path")
+def _(spark, sf):
+    g = links(spark, sf)
+    strongest = g.groupBy("de", "para", "weight", "label").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    edges = graph.checkpointed(graph.adjacency(g))
+    far = graph.path_costs(edges, "company:1").orderBy(F.desc("cost"), F.desc("hops"), "node").limit(1).first()
+    return graph.cheapest_path(edges, strongest, "company:1", far.node)
+
+
+@query("ordered_communities")
+def _(spark, sf):
+    return graph.ordered_communities(links(spark, sf))
