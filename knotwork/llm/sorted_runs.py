@@ -71,8 +71,7 @@ def cuts(sample: DataFrame, order: list[str], buckets: int) -> list[np.ndarray]:
     rows = sample.select(order).limit(SAMPLE_ROWS).toPandas()
     columns = [rows[c].to_numpy(np.int64) for c in order]
     at = multikey_quicksort(columns)
-    at = at[np.arange(1, buckets) * len(at) // buckets]
-    return [c[at] for c in columns] if len(rows) else [np.zeros(0, np.int64) for _ in order]
+    return [c[at[np.arange(1, buckets) * len(at) // buckets]] if len(at) else c for c in columns]  # none: all rows go to one bucket
 
 
 def bucket_of(columns: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
