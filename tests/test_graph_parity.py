@@ -18,7 +18,7 @@ def _near(rows):
 
 
 def test_communities_in_order(spark):
-    """One sweep after another over all nodes in order, on forty graphs at once; one giant component goes the other way."""
+    """One sweep after another over all nodes in order, on forty graphs at once."""
     r = random.Random(3)
     rows = [(f"g{g}n{r.randrange(9)}", f"g{g}n{r.randrange(9)}", r.randint(1, 3)) for g in range(40) for _ in range(r.randint(4, 16))]
     near = _near(rows)
@@ -37,7 +37,6 @@ def test_communities_in_order(spark):
     first = {k: min(v for v in label if label[v] == k) for k in label.values()}
     links = spark.createDataFrame(rows, "de string, para string, weight int")
     assert {x.node: x.community for x in graph.ordered_communities(links).collect()} == {v: first[k] for v, k in label.items()}
-    assert graph.ordered_communities(links, most=3).select("node").distinct().count() == len(near)
 
 
 def test_cheapest_path(spark):
@@ -45,7 +44,7 @@ def test_cheapest_path(spark):
     rows = list({(a, b): (a, b, r.randint(1, 3), r.choice("xyz"), [r.choice("st")]) for a, b in ((f"n{r.randrange(14)}", f"n{r.randrange(14)}") for _ in range(30))}.values()) + [("far", "away", 3, "x", ["s"])]
     links = spark.createDataFrame(rows, "de string, para string, weight int, label string, sources array<string>")
     edges, near = graph.checkpointed(graph.adjacency(links)), _near([x[:3] for x in rows])
-    start = sorted(near)[0]
+    start = min(v for v in near if v.startswith("n"))
     best, before, queue = {start: (0, 0)}, {}, [(0, 0, start)]
     done = set()
     while queue:
