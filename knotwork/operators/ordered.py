@@ -24,7 +24,7 @@ def running(df: DataFrame, group: list[str], order: list[str | Column], add: dic
     parts = [(name, c, F.sum) for name, c in (add or {}).items()] + [(name, c, F.bit_xor) for name, c in (xor or {}).items()]
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     valued = df.withColumns({f"_value_{name}": F.coalesce(c.cast("long"), F.lit(0).cast("long")) for name, c, _ in parts}).withColumn("_at", F.monotonically_increasing_id())
-    dealt = valued.repartitionByRange(ranges, *group, *order, "_at").withColumn("_range", F.spark_partition_id())
+    dealt = valued.repartitionByRange(ranges, *group, *order, "_at").withColumn("_range", F.spark_partition_id()).repartitionById(ranges, "_range")
     upto = Window.partitionBy("_range", *group).orderBy(*order, "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = checkpointed(dealt.withColumns({name: total(f"_value_{name}").over(upto) for name, _, total in parts}).drop("_at"))
 

@@ -41,6 +41,6 @@ def test_equal_rows_are_dealt_over_all_ranges(spark):
     try:
         out = running(df, ["g"], ["o"], add={"n": F.lit(1)})
         assert sorted(t.n for t in out.collect()) == list(range(1, 4001))
-        assert max(t["count"] for t in out.groupBy(F.spark_partition_id()).count().collect()) < 3000
+        assert max(t["count"] for t in out.groupBy(F.spark_partition_id()).count().collect()) < 2000
     finally:
         spark.conf.unset(key)
