@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, license_scan, line_dedup, media_mpeg, ngram_join, pii, substring_dedup, suffix_dedup, toxicity
+from . import byte_bpe, conversation_trie, decontamination, license_scan, line_dedup, media_mpeg, ngram_join, pii, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_decontamination": decontamination.query,
+    "op12_conversation_trie": conversation_trie.query,
 }
 
-ORACLES = {"op1_line_dedup": line_dedup.SQL, "op3_substring_dedup": substring_dedup.SQL}
+ORACLES = {"op1_line_dedup": line_dedup.SQL, "op3_substring_dedup": substring_dedup.SQL, "op12_conversation_trie": conversation_trie.SQL}
