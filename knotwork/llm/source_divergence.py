@@ -31,8 +31,8 @@ from . import common
 #: Terms of bytes of UTF-8: letters of ASCII and all beyond it.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 FOLD = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
-#: Counters that a task holds before it hands them on.
-HELD = 150_000
+#: Counters that a task holds before it hands them on, and bytes of a text that it cuts into terms at a time.
+HELD, SLICE = 50_000, 1 << 20
 #: Bits and bytes of a radix digit; rows of a group that are ordered instead of being split further.
 BITS, BYTES, FEW = 12, 2, 1000
 GROUP = ["lang", "source"]
@@ -42,6 +42,16 @@ def _named(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
 
 
+def _slices(raw: bytes):
+    """A text in pieces of about SLICE bytes that end between terms."""
+    at = 0
+    while len(raw) - at > SLICE:
+        end = next((m.start() for m in re.finditer(rb"[^a-z\x80-\xff]", raw[at + SLICE :])), len(raw) - at - SLICE) + at + SLICE
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows that hold it), summed over all rows."""
 
@@ -58,10 +68,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 n, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                terms = TERM.findall(text.as_buffer().to_pybytes().translate(FOLD))
-                n.update(terms)
-                in_docs.update(set(terms))
+                before, here = len(n), set()
+                for piece in _slices(text.as_buffer().to_pybytes().translate(FOLD)):
+                    n.update(terms := TERM.findall(piece))
+                    here.update(terms)
+                in_docs.update(here)
                 size += len(n) - before
                 if size > HELD:
                     yield from flush()
@@ -70,7 +81,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     common.bounded_batches(docs.sparkSession)
     each = _named(docs, *GROUP, "text").mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return each.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have counted already: a second count before the shuffle would only cost
+    return each.repartition(*GROUP, "term").groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -134,9 +146,9 @@ def radix_top(rows: DataFrame, k: int) -> DataFrame:
 def divergence(docs: DataFrame, least: int = 10, k: int = 10) -> DataFrame:
     """lang, source, part, item, value, rank: the contract's rows, for terms of at least ``least`` documents of a language and ranks of terms to k."""
     of_term = Window.partitionBy("lang", "term")
-    counted = term_counts(docs).withColumns({"in_lang": F.sum("docs").over(of_term), "n_lang": F.sum("n").over(of_term)}).where(F.col("in_lang") >= least)
-    c = common.cut(counted.select(*GROUP, "term", "n", "n_lang"))
-    kept = c.groupBy("lang").agg(F.countDistinct("term").alias("kept"), F.sum("n").alias("total_lang"))
+    counted = term_counts(docs).withColumns({"in_lang": F.sum("docs").over(of_term), "n_lang": F.sum("n").over(of_term), "first": (F.min("source").over(of_term) == F.col("source")).cast("long")}).where(F.col("in_lang") >= least)
+    c = common.cut(counted.select(*GROUP, "term", "n", "n_lang", "first"))
+    kept = c.groupBy("lang").agg(F.sum("first").alias("kept"), F.sum("n").alias("total_lang"))
     totals = c.groupBy(*GROUP).agg(F.sum("n").alias("total"))
     groups = _named(docs, *GROUP).distinct().join(totals, GROUP, "left").join(kept, "lang", "left").na.fill(0, ["total", "kept", "total_lang"])
     # a kept term makes the divisor at least 2; without one no share is asked for
