@@ -99,7 +99,7 @@ def _cut(spark: SparkSession, source: str, at: str) -> DataFrame:
     head = F.when(F.col("piece").rlike(r"\A[0-9]\r\n"), _header(F.col("piece")))
     p = p.withColumn("n", F.octet_length("piece").cast("long")).withColumn("_head", head)
     span = len(MAGIC) + F.octet_length("_head").cast("long") + len(BREAK) + _field(F.col("_head"), "content-length", "[0-9]{1,15}").cast("long") + len(BREAK)
-    p.withColumn("span", span).drop("_head").write.parquet(at)
+    p.withColumn("span", span).drop("_head").write.option("compression", "zstd").parquet(at)
     return spark.read.parquet(at)
 
 
