@@ -10,7 +10,9 @@ drift no more than an eighth of the template, so that a few words put in or left
 out don't part them; a merged lane with enough votes is a candidate, and its span
 is verified: the document's words there are laid beside the template's, in
 order, and the share of the template that stands there is its score, which decides
-on its label.
+on its label. Words that tell a license from its relatives (lesser, affero, nc, a
+version's number) must stand where a template names them and may not where it
+doesn't, and of different labels on one span the one with most words stands.
 
 Defined cases: null and empty texts have no words and score 0; of rows sharing a
 doc_id the one with the smallest text counts; texts of one word match nothing.
@@ -51,6 +53,9 @@ TEMPLATES = [
 to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
 copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
 permission notice shall be included in all copies or substantial portions of the Software."""),
+    ("mit", """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
     ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright
 notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"""),
     ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -68,6 +73,8 @@ Foundation, either version 3 of the License, or (at your option) any later versi
 WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
     ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free
 Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("agpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free
+Software Foundation, either version 3 of the License, or (at your option) any later version."""),
     ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain
 one at https://mozilla.org/MPL/2.0/."""),
     ("boost", """Boost Software License - Version 1.0 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
@@ -79,6 +86,11 @@ either in source code form or as a compiled binary, for any purpose, commercial
     ("cc-by", """This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit
 http://creativecommons.org/licenses/by/4.0/"""),
 ]
+#: Words that tell a license from its relatives. A template is only found where each of those it names stands, and
+#: not where another one stands within or right beside its span.
+TELLING = frozenset("lesser affero nc sa nd noncommercial sharealike noderivatives noderivs cc0 mozilla boost apache gnu".split())
+#: A label that only says more than another one; all others compete for a span.
+REFINES = {"gpl-3": "gpl", "bsd-3": "bsd"}
 #: Words up to which a template is matched by pairs; the run of longer ones; diagonals up to so far apart are neighbours;
 #: share of a template's k-grams that makes a candidate, and of its words that proves it.
 SHORT, RUN, NEAR, VOTES, PROOF = 12, 4, 2, 0.25, 0.7  # a long template's neighbours: a sixteenth of its words
@@ -144,13 +156,36 @@ def _candidates(votes, table) -> tuple[list, list]:
     return sorted(base, key=lambda x: (x[1], x[0])), sorted(out)
 
 
+def needed(template: list[str]) -> list[int]:
+    """Places of the words that must stand: telling ones, and in short templates numbers after the word version."""
+    numbers = [i + 1 for i, w in enumerate(template[:-1]) if w == "version" and template[i + 1].isdigit()] if len(template) <= SHORT else []
+    return [i for i, w in enumerate(template) if w in TELLING] + numbers
+
+
 def aligned(template: list[str], text: list[str], low: int, high: int) -> tuple[float, int, int]:
-    """Share of the template's words that stand in order in text[low:high], and the span from the first to the last of them."""
+    """Share of the template's words that stand in order in text[low:high], and the span from the first to the last of them.
+
+    The share is 0 where a needed word is missing, or where a telling word that the template doesn't name stands in the span or beside it.
+    """
     low = max(0, low)
     blocks = [b for b in SequenceMatcher(None, template, text[low:high], autojunk=False).get_matching_blocks() if b.size]
     if not blocks:
         return 0.0, low, low
-    return sum(b.size for b in blocks) / len(template), low + blocks[0].b, low + blocks[-1].b + blocks[-1].size
+    start, end = low + blocks[0].b, low + blocks[-1].b + blocks[-1].size
+    stand = {b.a + k for b in blocks for k in range(b.size)}
+    others = TELLING.intersection(text[max(0, start - 1) : end + 2]).difference(template)
+    return 0.0 if others or not stand.issuperset(needed(template)) else len(stand) / len(template), start, end
+
+
+def competing(checked: list[tuple[str, float, int, int, int]]) -> list[tuple[str, int, int, float]]:
+    """(label, start, end, score) of those of (label, score, start, end, words) that stand: where spans overlap the one with most words, then
+    the better score. A label that refines another one stands beside it."""
+    kept: list[tuple[str, int, int, float]] = []
+    for label, score, start, end, _ in sorted((c for c in checked if c[1] >= PROOF), key=lambda c: (-round(c[1] * c[4]), -c[1], c)):
+        rival = any(start < b and a < end and REFINES.get(label) != k and REFINES.get(k) != label for k, a, b, _ in kept)
+        if not rival:
+            kept.append((label, start, end, score))
+    return sorted(kept)
 
 
 def licenses(docs: DataFrame) -> DataFrame:
@@ -185,12 +220,8 @@ def licenses(docs: DataFrame) -> DataFrame:
             out = []
             for text, spans in zip(f["text"], f["spans"]):
                 ws = words(text or "")
-                checked = [(table[s["phrase"]][0], *aligned(table[s["phrase"]][1], ws, s["low"], s["high"])) for s in spans]
-                kept = []  # of spans of one label that overlap the best stands
-                for k, x, a, b in sorted((c for c in checked if c[1] >= PROOF), key=lambda c: (-c[1], c)):
-                    if not any(k == label and a < end and start < b for label, start, end, _ in kept):
-                        kept.append((k, a, b, x))
-                out.append([dict(zip(("label", "start", "end", "score"), x)) for x in sorted(kept)])
+                checked = [(table[x["phrase"]][0], *aligned(table[x["phrase"]][1], ws, x["low"], x["high"]), len(table[x["phrase"]][1])) for x in spans]
+                out.append([dict(zip(("label", "start", "end", "score"), x)) for x in competing(checked)])
             yield f[["doc_id"]].assign(found=out)
 
     texts = d.join(common.small(some.select("doc_id")), "doc_id", "left_semi")
