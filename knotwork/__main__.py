@@ -12,6 +12,8 @@ import sys
 from pyspark.sql import SparkSession
 
 from .cases import analysing, building, reporting
+from .operators import export
+from .operators.memo import Memo, files_key
 
 
 def _written(case: building.Case, out: str) -> None:
@@ -58,7 +60,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             case = reporting.load(spark, args.case)
             if args.command == "analyse":
-                print(reporting.report(case, reporting.analyse(case, analysing.STATED if args.without_inferred else analysing.ALL)))
+                key = files_key(spark, *(f"{args.case}/{t}" for t in ("links", "entities")))
+                classes = analysing.STATED if args.without_inferred else analysing.ALL
+                print(reporting.report(case, reporting.analyse(case, classes, Memo(spark, f"{args.case}/memo"), key)))
             elif args.command == "path":
                 start, end = (analysing.one(case, t) for t in (args.start, args.end))
                 print(reporting.sentence(case, analysing.path(case.links, start, end, args.stated), start))
@@ -66,7 +70,11 @@ def main(argv: list[str] | None = None) -> int:
                 if args.format == "json":
                     reporting.save(case, args.out)
                 for name, rows in reporting.lines(case, args.format).items() if args.format != "json" else ():
-                    rows.write.mode("overwrite").text(f"{args.out}/{name}")
+                    if args.format == "bundle":
+                        export.write_document(rows, f"{args.out}/parts")
+                        export.concatenate(spark, f"{args.out}/parts", f"{args.out}/{name}")
+                    else:
+                        rows.write.mode("overwrite").text(f"{args.out}/{name}")
             else:
                 r = reporting.verify(case, spark.read.schema("content string, n long, root string").json(f"{args.case}/seal")).first()
                 print(f"{r.state} ({r.delta:+d} rows)")

@@ -250,46 +250,67 @@ def communities(links: DataFrame, sweeps: int = 50) -> DataFrame:
     return labels.join(names, "label").select("node", "community")
 
 
-def _sweeps(edges, most: int = 50):
-    """node, community of one component's edges (src, dst, weight): nodes in order take the label their neighbours weigh most, their own on a tie, else the smallest."""
-    near: dict[str, dict[str, int]] = {}
-    for a, b, w in zip(edges["src"], edges["dst"], edges["weight"]):
-        near.setdefault(a, {})[b] = w
-    label = {v: v for v in near}
-    for _ in range(most):
-        moved = False
-        for v in sorted(near):
-            votes: dict[str, int] = {}
-            for u, w in near[v].items():
-                votes[label[u]] = votes.get(label[u], 0) + w
-            best = max(votes.values())
-            if votes.get(label[v]) != best:
-                label[v], moved = min(k for k, w in votes.items() if w == best), True
-        if not moved:
+def _chosen(near: DataFrame, labels: DataFrame, active: DataFrame) -> DataFrame:
+    """node, new: what the active nodes choose. A smaller neighbour votes with its label of this sweep (now), a larger one with that of the last (was)."""
+    vote = F.when(F.col("dst") < F.col("src"), F.col("now")).otherwise(F.col("was"))
+    asked = near.join(active.withColumnRenamed("node", "src"), "src", "left_semi")
+    votes = asked.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), vote.alias("vote")).agg(F.sum("weight").alias("w"))
+    own = votes.join(labels.select("node", "was"), "node")
+    return own.groupBy("node").agg(F.min(F.struct(-F.col("w"), F.col("vote") != F.col("was"), F.col("vote")))["vote"].alias("new"))
+
+
+def ordered_communities(links: DataFrame, sweeps: int = 50) -> DataFrame:
+    """Node, community: weighted label propagation as if one node after another moved, in the order of their names, at any size.
+
+    A node takes the label its neighbours weigh most, its own on a tie, else the smallest. What it takes
+    depends on the smaller neighbours' labels of this sweep and the larger ones' of the last, so a sweep is
+    the only solution of a triangular system: nodes choose at once, and those with a smaller neighbour whose
+    choice changed choose again until none changes. That takes as many joins as a change travels far, not as
+    many as there are nodes, and only nodes near a change take part. A sweep begins with the nodes that have
+    a larger neighbour that moved in the last one; for any other node nothing has changed.
+    A community is named by its smallest node; isolated nodes have no row.
+    """
+    near = checkpointed(adjacency(links))
+    larger, smaller = near.where("src < dst"), near.where("dst < src")
+    labels = checkpointed(near.select(F.col("src").alias("node")).distinct().withColumns({"was": F.col("node"), "now": F.col("node")}))
+    active = labels.select("node")
+    for _ in range(sweeps):
+        while True:
+            stepped = labels.join(_chosen(near, labels, active), "node", "left").select("node", "was", F.coalesce("new", "now").alias("now"), (F.coalesce("new", "now") != F.col("now")).alias("moved"))
+            stepped = checkpointed(stepped)
+            labels = stepped.select("node", "was", "now")
+            active = checkpointed(smaller.join(stepped.where("moved").select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct())
+            if not active.limit(1).count():
+                break
+        changed = labels.where("now <> was").select(F.col("node").alias("dst"))
+        active = checkpointed(larger.join(changed, "dst").select(F.col("src").alias("node")).distinct())
+        labels = labels.select("node", F.col("now").alias("was"), "now")
+        if not active.limit(1).count():
             break
-    first: dict[str, str] = {}
-    for v in sorted(label):
-        first.setdefault(label[v], v)
-    return [(v, first[k]) for v, k in label.items()]
+    names = labels.groupBy("now").agg(F.min("node").alias("community"))
+    return labels.join(names, "now").select("node", "community")
 
 
-def ordered_communities(links: DataFrame, most: int = 20_000) -> DataFrame:
-    """Node, community as communities(), but one node after another in the order of their names, as far as that can be dealt out.
+def community_names(groups: DataFrame, links: DataFrame, owners=("person", "company", "consortium"), labels: DataFrame | None = None) -> DataFrame:
+    """Number (from 1, by size and then by smallest node), community, size, label: the two owners with most neighbours, then smallest.
 
-    Components don't touch each other's labels, so each one of up to ``most`` nodes is swept in a task
-    of its own; the nodes of larger ones move half at a time, as in communities().
+    groups: node, community. labels (node, label) says how nodes are called, else their names do; what stands in square brackets is left out.
     """
-    import pandas as pd
-
-    near = checkpointed(adjacency(links))
-    parts = checkpointed(components(near))
-    large = parts.groupBy("component").count().where(F.col("count") > most).select("component")
-    of = near.join(parts.withColumnRenamed("node", "src"), "src")
-    swept = of.join(large, "component", "left_anti").groupBy("component").applyInPandas(lambda f: pd.DataFrame(_sweeps(f), columns=["node", "community"]), "node string, community string")
-    if not large.limit(1).count():
-        return swept
-    rest = of.join(large, "component", "left_semi")
-    return swept.union(communities(rest.select(F.col("src").alias("de"), F.col("dst").alias("para"), "weight")))
+    from .ordered import ordinals
+
+    sizes = groups.groupBy("community").agg(F.count("*").alias("size"))
+    numbered = ordinals(sizes, [F.col("size").desc(), "community"], "number").withColumn("number", F.col("number") + 1)
+    reach = adjacency(links).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("near"))
+    held = groups.where(kind("node").isin(*owners)).join(reach, "node")
+    # two rounds of a least row, so that no community's nodes meet in one window
+    first = held.groupBy("community").agg(F.min(F.struct(-F.col("near"), F.col("node"))).alias("a"))
+    second = held.join(first, "community").where(F.col("node") != F.col("a.node")).groupBy("community").agg(F.min(F.struct(-F.col("near"), F.col("node"))).alias("b"))
+    called = labels if labels is not None else groups.select("node", F.col("node").alias("label"))
+    short = called.select("node", F.regexp_replace("label", r"\s*\[.*?\]", "").alias("called"))
+    top = first.join(second, "community", "left").select("community", F.posexplode(F.array(F.col("a.node"), F.col("b.node"))).alias("place", "node")).join(short, "node")
+    told = top.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "called"))), lambda x: x["called"]), ", ").alias("owners"))
+    named = numbered.join(told, "community", "left")
+    return named.select("number", "community", "size", F.concat(F.lit("Grupo "), F.col("number").cast("string"), F.lit(" — "), F.coalesce("owners", F.lit("sem donos"))).alias("label"))
 
 
 def betweenness(links: DataFrame, most: int = 300, exact: int = 800, isolated: DataFrame | None = None) -> DataFrame:

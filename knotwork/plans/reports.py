@@ -33,11 +33,26 @@ def _(spark, sf):
 
 
 @query("export_graphml", EDGES_SQL + NODES_SQL + """ select '<node id="' || node || '"><data key="kind">' || kind || '</data></node>' as line from v
-union all select '<edge source="' || de || '" target="' || para || '"><data key="weight">' || weight || '</data><data key="label">' || label || '</data><data key="sources">' || sources || '</data></edge>' from e""", True)
+union all select '<edge id="e' || (row_number() over (order by de, para, weight, label) - 1) || '" source="' || de || '" target="' || para || '"><data key="weight">' || weight || '</data><data key="label">' || label || '</data><data key="sources">' || sources || '</data></edge>' from e""", True)
 def _(spark, sf):
     return export.graphml(links(spark, sf))
 
 
+@query("edge_ordinals", EDGES_SQL + " select de, para, weight, label, n, first_day, sources, row_number() over (order by de, para, weight, label) - 1 as ordinal from e", True)
+def _(spark, sf):
+    return export.numbered_edges(links(spark, sf))
+
+
+@query("node_ordinals", NODES_SQL + " select node, kind, degree, row_number() over (order by node) - 1 as ordinal from v", True)
+def _(spark, sf):
+    return export.numbered_nodes(links(spark, sf))
+
+
+@query("export_bundle")
+def _(spark, sf):
+    return export.bundle(export.exchange(links(spark, sf)), "Links", "2024-01-01T00:00:00.000Z")
+
+
 @query("export_exchange")
 def _(spark, sf):
     return export.exchange(links(spark, sf))
