@@ -32,7 +32,7 @@ from . import common
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 FOLD = bytes.maketrans(common.UPPER.encode(), common.LOWER.encode())
 #: Counters that a task holds before it hands them on, and bytes of a text that it cuts into terms at a time.
-HELD, SLICE = 50_000, 1 << 20
+HELD, SLICE = 90_000, 1 << 20
 #: Bits and bytes of a radix digit; rows of a group that are ordered instead of being split further.
 BITS, BYTES, FEW = 12, 2, 1000
 GROUP = ["lang", "source"]
