@@ -61,8 +61,11 @@ def sentences(c: Column, keep_parentheses: bool = True) -> Column:
     With keep_parentheses one after a legal form's dot, as in "Ltda. (CNPJ ...)", stays with the company. F15 comes first: S.A. becomes SA. and short forms lose their dot.
     """
     start = r"(?<![\p{L}\p{N}_])"
-    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\r", ""), start + r"S\.\s?A\.?", "SA."), rf"{start}({SHORT_FORMS})\.", "$1")
-    flat = F.regexp_replace(F.regexp_replace(c, "\n{2,}", "\x01"), "\n", " ")
+    c = F.replace(c, F.lit("\r"), F.lit(""))
+    shortened = F.regexp_replace(F.regexp_replace(c, start + r"S\.\s?A\.?", "SA."), rf"{start}({SHORT_FORMS})\.", "$1")
+    # most texts hold no short form, which one plain look tells
+    c = F.when(c.rlike(rf"S\.\s?A|(?:{SHORT_FORMS})\."), shortened).otherwise(c)
+    flat = F.translate(F.when(F.contains(c, F.lit("\n\n")), F.regexp_replace(c, "\n{2,}", "\x01")).otherwise(c), "\n", " ")
     start = "[A-ZÀ-Ú\"“]|(?<!(?:Ltda|LTDA|SA|S/A|ME|EPP|EIRELI|Eireli)\\. {1,9})\\(" if keep_parentheses else "[A-ZÀ-Ú\"“(]"
     marked = F.regexp_replace(flat, rf"([.!?])\s+({start})", "$1\x01$2")
     return F.filter(F.transform(F.split(marked, "\x01", -1), lambda s: F.trim(s)), lambda s: s != "")

@@ -24,25 +24,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 #: Rows of a key that are paired with each other in one key.
-BLOCK = 512
+BLOCK = 256
 
 
 def block_pairs(rows: DataFrame, by: list[str]) -> DataFrame:
     """All pairs of rows with node < node among those of one key: by, and every other column twice, as _x and _y.
 
-    A key's rows are dealt over blocks of about BLOCK and each pair of blocks is a key of its own, so
-    no task pairs all rows of a frequent key. Rows are distinct by (by, node).
+    Keys of up to BLOCK rows are paired as they are. The rows of a larger one are dealt over blocks of about
+    BLOCK, and each two blocks are a key of its own, looked at once, so no task pairs all rows of a frequent
+    key. Rows are distinct by (by, node).
     """
     rows = checkpointed(rows)
-    sizes = rows.groupBy(by).agg(F.count("*").alias("_rows")).where("_rows > 1").withColumn("_blocks", F.ceil(F.col("_rows") / BLOCK).cast("int")).drop("_rows")
-    dealt = rows.join(sizes, by).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     rest = [c for c in rows.columns if c not in by]
-
-    def side(s, one, two):
-        return dealt.withColumn("_other", other).select(*by, F.col("_own").alias(one), F.col("_other").alias(two), *[F.col(c).alias(f"{c}_{s}") for c in rest])
-
-    return side("x", "_p", "_q").join(side("y", "_q", "_p"), [*by, "_p", "_q"]).where("node_x < node_y").drop("_p", "_q")
+    large = checkpointed(rows.groupBy(by).agg(F.count("*").alias("_rows")).where(F.col("_rows") > BLOCK).withColumn("_blocks", F.ceil(F.col("_rows") / BLOCK).cast("int")).drop("_rows"))
+    side = lambda df, s, *keys: df.select(*by, *keys, *[F.col(c).alias(f"{c}_{s}") for c in rest])
+    if not large.limit(1).count():
+        return side(rows, "x").join(side(rows, "y"), by).where("node_x < node_y")
+    few = rows.join(large, by, "left_anti")
+    direct = side(few, "x").join(side(few, "y"), by).where("node_x < node_y")
+    dealt = rows.join(large, by).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    x = side(dealt.withColumn("_q", F.explode(F.sequence(F.col("_own"), F.col("_blocks") - 1))), "x", F.col("_own").alias("_p"), "_q")
+    y = side(dealt.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_own")))), "y", "_p", F.col("_own").alias("_q"))
+    met = x.join(y, [*by, "_p", "_q"]).where("_p < _q or node_x < node_y")
+    ahead = F.col("node_x") < F.col("node_y")
+    turned = [F.when(ahead, F.col(f"{c}_{a}")).otherwise(F.col(f"{c}_{b}")).alias(f"{c}_{a}") for a, b in (("x", "y"), ("y", "x")) for c in rest]
+    return direct.select(*by, *[f"{c}_{s}" for s in "xy" for c in rest]).union(met.select(*by, *turned))
 
 
 def adjacency(links: DataFrame) -> DataFrame:
@@ -70,12 +76,11 @@ def _pivot(owned: DataFrame) -> DataFrame:
 
 def shared_identifiers(links: DataFrame, identifiers=("part", "address"), label: str = "partner") -> DataFrame:
     """G3 (i), G2: identifiers that two owners or more share, two independent parties among them: node, owners, score, strength (unrounded)."""
-    from .signals import independent_parties
+    from .signals import apart
 
     owned = links.where(kind("para").isin(*identifiers)).select(F.col("para").alias("node"), F.col("de").alias("owner"), "weight")
     partners = links.where(F.col("label") == label).select(F.col("de").alias("person"), F.col("para").alias("company"))
-    apart = independent_parties(owned.where(kind("node").isin(*identifiers)), partners).where("parties > 1").select("node")
-    return _pivot(owned.join(apart, "node", "left_semi"))
+    return _pivot(owned.join(apart(owned, partners), "node", "left_semi"))
 
 
 def common_partners(links: DataFrame, label: str = "partner") -> DataFrame:

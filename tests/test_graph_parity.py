@@ -94,3 +94,57 @@ def test_islands_across_buckets(spark, monkeypatch):
                 run = []
             run.append(n)
     assert {tuple(x) for x in graph.islands(spark.createDataFrame(numbers, "grp string, number long")).collect()} == want
+
+
+def test_block_pairs_of_small_and_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    r = random.Random(6)
+    for sizes in ((3, 5, 7), (3, 8, 40, 100)):
+        rows = [(f"k{i}", n, r.randint(0, 9)) for i, size in enumerate(sizes) for n in r.sample(range(500), size)]
+        got = graph.block_pairs(spark.createDataFrame(rows, "k string, node int, w int"), ["k"])
+        want = sorted((k, a, w, b, v) for k, a, w in rows for k2, b, v in rows if k == k2 and a < b)
+        assert sorted((x.k, x.node_x, x.w_x, x.node_y, x.w_y) for x in got.collect()) == want
+
+
+def test_pivots_apart_equal_counted_parties(spark):
+    from knotwork.operators import signals
+
+    r = random.Random(9)
+    owned = [(f"n{r.randrange(30)}", f"o{r.randrange(12)}") for _ in range(120)]
+    partners = [(f"o{r.randrange(12)}", f"o{r.randrange(12)}") for _ in range(25)]
+    a, b = spark.createDataFrame(owned, "node string, owner string"), spark.createDataFrame(partners, "person string, company string")
+    want = sorted(x.node for x in signals.independent_parties(a, b).where("parties > 1").collect())
+    assert sorted(x.node for x in signals.apart(a, b).collect()) == want and len(want) > 5
+
+
+def test_communities_of_one_large_component(spark):
+    """A ring with chords, all one component: the sweeps in order, by joins, equal those of a loop; so do numbers and names."""
+    r = random.Random(13)
+    n = 3000
+    rows = [(f"person:{i:05}", f"company:{(i + d) % n:05}", r.randint(1, 3)) for i in range(n) for d in (0, 1)] + [(f"person:{r.randrange(n):05}", f"company:{r.randrange(n):05}", 1) for _ in range(n // 3)]
+    near = _near(rows)
+    label = {v: v for v in near}
+    for _ in range(50):
+        moved = False
+        for v in sorted(near):
+            votes = defaultdict(int)
+            for u, w in near[v].items():
+                votes[label[u]] += w
+            best = sorted(k for k, w in votes.items() if w == max(votes.values()))
+            if label[v] not in best:
+                label[v], moved = best[0], True
+        if not moved:
+            break
+    groups = defaultdict(list)
+    for v in sorted(label):
+        groups[label[v]].append(v)
+    links = spark.createDataFrame(rows, "de string, para string, weight int")
+    got = graph.checkpointed(graph.ordered_communities(links))
+    assert {x.node: x.community for x in got.collect()} == {v: m[0] for m in groups.values() for v in m} and len(groups) > 100
+    want = {}
+    for k, m in enumerate(sorted(groups.values(), key=lambda m: (-len(m), m[0])), 1):
+        top = sorted(m, key=lambda v: (-len(near[v]), v))[:2]
+        want[m[0]] = (k, len(m), f"Grupo {k} — {', '.join(top)}")
+    assert {x.community: (x.number, x.size, x.label) for x in graph.community_names(got, links).collect()} == want
+    # labels of nodes that are no owners name nobody
+    assert {x.label for x in graph.community_names(spark.createDataFrame([("phone:1", "phone:1")], "node string, community string"), links).collect()} == {"Grupo 1 — sem donos"}
