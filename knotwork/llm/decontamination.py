@@ -1,7 +1,8 @@
 """Benchmark decontamination [native]: spaced-seed hashing.
 
 Fixed masks look at some words of a window and ignore the others, so a seed
-survives substitutions at the ignored places. Seeds of documents and of
+survives substitutions at the ignored places. A sieve of the word pairs that masks
+begin with keeps words that begin no item's seed from giving any. Seeds of documents and of
 benchmark items are joined on their hash; around each hit the two texts are
 laid side by side (same diagonal: document position minus item position) and
 equal words are noted by their place in the item. An item is found in a document
@@ -32,10 +33,12 @@ from . import common
 #: The word offsets that each mask looks at: of items from LONG words on, and of those from SPAN to LONG words, which have fewer
 #: places for a mask and so get lighter ones. Found by search for the least recall over all lengths, at half of the words kept.
 MASKS = ((0, 1, 2, 4), (0, 1, 5, 7), (0, 1, 8, 9), (0, 1, 10, 11), (0, 2, 5, 6), (0, 3, 5, 6))
-SHORT_MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 4, 8))
+SHORT_MASKS = ((0, 1, 2), (0, 1, 3), (0, 1, 4), (0, 2, 3))
 SPAN, LONG = 9, 15
 #: 64-bit numbers up to which a side is broadcast (16 MB); beyond them the join shuffles.
 BROADCAST_LONGS = 2_000_000
+#: Slots of a sieve of word pairs.
+SLOTS = 1 << 18
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -50,19 +53,51 @@ def word_hashes(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def seeds(df: DataFrame, hashes: str, masks: list[tuple[int, ...]], *keep: str) -> DataFrame:
-    """A row for each mask and word: seed (null where the mask reaches beyond the end), pos and the kept columns."""
+def _by_pair(masks) -> dict[int, list[tuple[int, ...]]]:
+    """Masks by the distance of their first two words (0 for masks of one word)."""
+    out: dict[int, list[tuple[int, ...]]] = {}
+    for m in dict.fromkeys(masks):
+        out.setdefault(m[1] if len(m) > 1 else 0, []).append(m)
+    return out
+
+
+def _pair(hashes: str, d: int) -> str:
+    return f"xxhash64({d}, {hashes}[i], {hashes}[i + {d}])"
+
+
+def sieves(items: DataFrame, hashes: str, masks) -> dict[int, str]:
+    """For each distance of _by_pair an array literal of SLOTS booleans: whether two words of an item so far apart have that hash.
+
+    Of each hash only the slot is kept, so what reaches the driver is SLOTS numbers a distance at most; a benchmark that fills
+    all slots is sieved for nothing, never wrongly.
+    """
+    out = {}
+    for d in _by_pair(masks):
+        at = items.where(F.size(hashes) > d).select(F.explode(F.expr(f"transform(sequence(0, size({hashes}) - {d} - 1), i -> {_pair(hashes, d)} & {SLOTS - 1})")).alias("slot")).distinct()
+        held = {r.slot for r in at.collect()}
+        out[d] = "from_json('[" + ",".join("true" if k in held else "false" for k in range(SLOTS)) + "]', 'array<boolean>')"
+    return out
+
+
+def seeds(df: DataFrame, hashes: str, masks, *keep: str, sieve: dict[int, str] | None = None) -> DataFrame:
+    """A row for each mask and word from which it fits: the kept columns, seed and pos (both null in a row without any).
+
+    With a sieve only words count whose pair (a mask's first two words) may stand in an item, so most words are
+    looked at once a distance and give no row.
+    """
 
     def one(mask):
         of = f"xxhash64({', '.join([f'{len(mask)}', *map(str, mask), *(f'{hashes}[i + {o}]' for o in mask)])})"
-        return f"transform(sequence(0, size({hashes}) - 1), i -> if(i < size({hashes}) - {mask[-1]}, {of}, cast(null as bigint)))"
+        return f"if(i + {mask[-1]} < size({hashes}), struct({of} as seed, i as pos), null)"
 
-    return (
-        # no filter on the size and an outer explode: a filter would be pushed down and hash every word again for each seed
-        df.select(*keep, F.size(hashes).alias("_n"), F.expr(f"if(size({hashes}) > 0, concat({', '.join(map(one, masks))}), array())").alias("_seeds"))
-        .select(*keep, "_n", F.posexplode_outer("_seeds").alias("_p", "seed"))
-        .select(*keep, "seed", (F.col("_p") % F.col("_n")).alias("pos"))
-    )
+    def group(d, some):
+        places = f"sequence(0, size({hashes}) - {d} - 1)"
+        places = f"filter({places}, i -> {sieve[d]}[cast({_pair(hashes, d)} & {SLOTS - 1} as int)])" if sieve else places
+        return f"if(size({hashes}) > {d}, flatten(transform({places}, i -> array({', '.join(map(one, some))}))), array())"
+
+    found = F.expr(f"concat({', '.join(group(d, some) for d, some in _by_pair(masks).items())})")
+    # an outer explode, and no filter: one would be pushed down and hash every word again for each seed
+    return df.select(*keep, F.explode_outer(found).alias("_s")).select(*keep, "_s.seed", "_s.pos")
 
 
 def _bounded(df: DataFrame, longs) -> DataFrame:
@@ -78,14 +113,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # one number for each kind of length: fewer than SPAN, then SPAN and LONG for all from there on
     kinds = F.when(F.size("b") < SPAN, F.size("b")).when(F.size("b") < LONG, SPAN).otherwise(LONG)
     classes = {r.n: masks_of(r.n) for r in items.select(kinds.alias("n")).distinct().collect()}
+    if not classes:
+        return d.where("false").select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("item_id", "n_match", "n_item")])
     index = None
     for n, masks in sorted(classes.items()):
-        some = seeds(items.where(kinds == n), "b", list(masks), "item_id")
+        some = seeds(items.where(kinds == n), "b", masks, "item_id")
         index = some if index is None else index.union(some)
-    if index is None:
-        return d.where("false").select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("item_id", "n_match", "n_item")])
     index = common.cut(index.where("seed is not null").withColumnRenamed("pos", "off").distinct())
-    rows = seeds(word_hashes(d, "text", "h"), "h", list(dict.fromkeys(m for _, masks in sorted(classes.items()) for m in masks)), "doc_id")
+    masks = [m for _, some in sorted(classes.items()) for m in some]
+    rows = seeds(word_hashes(d, "text", "h"), "h", masks, "doc_id", sieve=sieves(items, "b", masks))
     hits = rows.join(_bounded(index, F.lit(3)), "seed").select("doc_id", "item_id", (F.col("pos") - F.col("off")).alias("diagonal"))
     hits = common.cut(hits.distinct())
     beside = word_hashes(d.join(_bounded(hits, F.lit(3)), "doc_id"), "text", "h").select("doc_id", "item_id", "diagonal", "h").join(_bounded(items, F.size("b") + 1), "item_id")
