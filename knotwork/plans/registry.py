@@ -275,4 +275,4 @@ def _(spark, sf):
     return graph.path_costs(graph.adjacency(links(spark, sf)), "company:1")
 
 
-from . import reports  # noqa: E402,F401  (it registers its queries)
+from . import partners, reports  # noqa: E402,F401  (they register their queries)
