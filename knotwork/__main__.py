@@ -1,7 +1,8 @@
 """Python -m knotwork COMMAND: cases from folders or files, their analysis, paths, exports and seals.
 
 case FOLDER -o OUT, extract FILE... -o OUT (with --register, --calls, --book FILE=OWNER, --names), analyse CASE,
-path CASE FROM TO, export CASE --format F -o OUT, verify CASE. CASE is a folder that case or extract wrote.
+path CASE FROM TO, export CASE --format F -o OUT, verify CASE. CASE is a folder that case or extract wrote; analyse, path
+and export also take a graph's document, alone (.json) or in a saved page (.html).
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .cases import analysing, building, reporting
+from .cases import analysing, building, graphs, reporting
 from .operators import export
 from .operators.memo import Memo, files_key
 
@@ -23,6 +24,10 @@ def _written(case: building.Case, out: str) -> None:
     print(f"written to {out}")
 
 
+def _is_document(path: str) -> bool:
+    return path.lower().endswith((".json", ".html", ".htm"))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="knotwork", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="command", required=True)
@@ -58,19 +63,25 @@ def main(argv: list[str] | None = None) -> int:
             names = building.dictionary(spark, args.names) if args.names else []
             _written(building.build(spark, [building.Files("case", "", tuple(args.files), args.register, args.calls, books)], names=names), args.out)
         else:
-            case = reporting.load(spark, args.case)
+            alone = _is_document(args.case)
+            case = graphs.read(spark, args.case) if alone else reporting.load(spark, args.case)
             if args.command == "analyse":
                 key = files_key(spark, *(f"{args.case}/{t}" for t in ("links", "entities")))
                 classes = analysing.STATED if args.without_inferred else analysing.ALL
-                print(reporting.report(case, reporting.analyse(case, classes, Memo(spark, f"{args.case}/memo"), key)))
+                print(reporting.report(case, reporting.analyse(case, classes, None if alone else Memo(spark, f"{args.case}/memo"), key)))
             elif args.command == "path":
                 start, end = (analysing.one(case, t) for t in (args.start, args.end))
                 print(reporting.sentence(case, analysing.path(case.links, start, end, args.stated), start))
             elif args.command == "export":
                 if args.format == "json":
                     reporting.save(case, args.out)
-                for name, rows in reporting.lines(case, args.format).items() if args.format != "json" else ():
-                    if args.format == "bundle":
+                documents = {"graph": "case.json", "page": "case.html"}
+                if args.format in documents:
+                    made = {documents[args.format]: graphs.document(case, page=args.format == "page")}
+                else:
+                    made = reporting.lines(case, args.format) if args.format != "json" else {}
+                for name, rows in made.items():
+                    if args.format in ("bundle", *documents):
                         export.write_document(rows, f"{args.out}/parts")
                         export.concatenate(spark, f"{args.out}/parts", f"{args.out}/{name}")
                     else:
