@@ -37,7 +37,7 @@ SHORT_MASKS = ((0, 1, 2), (0, 1, 3), (0, 1, 4), (0, 2, 3))
 SPAN, LONG = 9, 15
 #: 64-bit numbers up to which a side is broadcast (16 MB); beyond them the join shuffles.
 BROADCAST_LONGS = 2_000_000
-#: Slots of a sieve of word pairs.
+#: Bits of a sieve of word pairs (32 KB a distance).
 SLOTS = 1 << 18
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -66,16 +66,19 @@ def _pair(hashes: str, d: int) -> str:
 
 
 def sieves(items: DataFrame, hashes: str, masks) -> dict[int, str]:
-    """For each distance of _by_pair an array literal of SLOTS booleans: whether two words of an item so far apart have that hash.
+    """For each distance of _by_pair an array literal of SLOTS bits in longs: whether two words of an item so far apart have that slot.
 
-    Of each hash only the slot is kept, so what reaches the driver is SLOTS numbers a distance at most; a benchmark that fills
-    all slots is sieved for nothing, never wrongly.
+    A pair's hash gives the long, its second word's hash the bit. Only slots reach the driver, so at most SLOTS rows a distance;
+    a benchmark that fills all slots is sieved for nothing, never wrongly.
     """
     out = {}
     for d in _by_pair(masks):
-        at = items.where(F.size(hashes) > d).select(F.explode(F.expr(f"transform(sequence(0, size({hashes}) - {d} - 1), i -> {_pair(hashes, d)} & {SLOTS - 1})")).alias("slot")).distinct()
-        held = {r.slot for r in at.collect()}
-        out[d] = "from_json('[" + ",".join("true" if k in held else "false" for k in range(SLOTS)) + "]', 'array<boolean>')"
+        slot = f"struct({_pair(hashes, d)} & {SLOTS // 64 - 1} as at, {hashes}[i + {d}] & 63 as bit)"
+        at = items.where(F.size(hashes) > d).select(F.inline(F.expr(f"transform(sequence(0, size({hashes}) - {d} - 1), i -> {slot})"))).distinct()
+        longs = [0] * (SLOTS // 64)
+        for r in at.collect():
+            longs[r.at] |= 1 << r.bit
+        out[d] = f"from_json('[{','.join(str(x - (x >> 63 << 64)) for x in longs)}]', 'array<bigint>')"
     return out
 
 
@@ -92,7 +95,8 @@ def seeds(df: DataFrame, hashes: str, masks, *keep: str, sieve: dict[int, str] |
 
     def group(d, some):
         places = f"sequence(0, size({hashes}) - {d} - 1)"
-        places = f"filter({places}, i -> {sieve[d]}[cast({_pair(hashes, d)} & {SLOTS - 1} as int)])" if sieve else places
+        held = f"{sieve[d]}[cast({_pair(hashes, d)} & {SLOTS // 64 - 1} as int)]" if sieve else ""
+        places = f"filter({places}, i -> (shiftright({held}, cast({hashes}[i + {d}] & 63 as int)) & 1L) = 1L)" if sieve else places
         return f"if(size({hashes}) > {d}, flatten(transform({places}, i -> array({', '.join(map(one, some))}))), array())"
 
     found = F.expr(f"concat({', '.join(group(d, some) for d, some in _by_pair(masks).items())})")
