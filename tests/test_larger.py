@@ -18,3 +18,26 @@ def test_shared_counts_of_frequent_and_rare_keys(spark, monkeypatch):
     # pairs of frequent keys are never rows of a shuffle: groups of two blocks read each node once a block
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan
+
+
+def test_components_shrink_their_edges(spark, monkeypatch):
+    n, cut = 600, []
+    edges = [(f"n{i:04}", f"n{i + 1:04}") for i in range(n) if i % 50] + [("n0700", "n0700")] + [("hub", f"m{i:03}") for i in range(300)]
+    want = {a: f"n{a_ // 50 * 50 + 1:04}" if a_ % 50 else f"n{a_ - 49:04}" for a_ in range(1, n + 1) for a in [f"n{a_:04}"]} | {"n0700": "n0700", "hub": "hub"} | {f"m{i:03}": "hub" for i in range(300)}
+    kept = graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: (out := kept(df), cut.append((out.columns, out.count())))[0])
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == want
+    whole = [rows for columns, rows in cut if columns == ["src", "dst"]]
+    assert whole[0] == len(edges) and sum(whole) < 1.5 * len(edges)  # every round looked at all edges before, both ways
+
+
+def test_parties_send_only_ties_through_components(spark, monkeypatch):
+    from knotwork.operators import signals
+
+    seen, whole = [], signals.components
+    monkeypatch.setattr(signals, "components", lambda edges: (seen.append(edges.count()), whole(edges))[1])
+    owned = spark.createDataFrame([("x", o) for o in "pqabc"] + [("y", "p"), ("y", "q")], "node string, owner string")
+    partners = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "z")], "person string, company string")
+    assert {(r.node, r.parties) for r in signals.independent_parties(owned, partners).collect()} == {("x", 3), ("y", 2)}  # p with a and b, q, c; p, q
+    assert seen == [2]
