@@ -10,10 +10,11 @@ the result doesn't depend on partitions.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import combinations
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -35,17 +36,64 @@ def alike(new: pd.Series, old: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() >= r for a, b, r in zip(new, old, least)], dtype=bool)
 
 
-def spellings(keys: DataFrame) -> DataFrame:
+#: Subsequences of one length that may be made of a key.
+VARIANTS = 3000
+
+
+def choices(of: str, among: str) -> Column:
+    """How many subsequences of ``among`` letters a key of ``of`` letters has at most, as a double."""
+    steps = F.sequence(F.lit(0), F.col(of) - F.col(among))
+    return F.aggregate(steps, F.lit(1.0), lambda acc, i: F.when(i == 0, acc).otherwise(acc * (F.col(of) - i + 1) / i))
+
+
+def _shorter(frames):
+    """Every subsequence of ``common`` letters of a key, each once."""
+    for f in frames:
+        for at in range(0, len(f), 64):  # a key has VARIANTS at most
+            some = f.iloc[at : at + 64]
+            short = [sorted({"".join(c) for c in combinations(k, n)}) for k, n in zip(some["key"], some["common"])]
+            yield some.assign(short=short).explode("short")[["case_id", "kind", "key", "first", "documented", "common", "short"]]
+
+
+def spellings(keys: DataFrame, cut=lambda df: df) -> DataFrame:
     """case_id, kind, key, parent: the earliest earlier key that is spelled almost alike, for keys without a document at first.
 
-    Two keys that are alike to a share r differ in at most (1 - r) of their letters. Cut into one part
-    more than that, the new key has a part that stands unchanged in the old one, at nearly the same
-    place: an equi-join on such parts loses no pair and makes few.
+    Two keys of n and m letters that are alike to a share r have a common subsequence of M = ceil(r (n + m) / 2)
+    letters. Where neither has more than VARIANTS subsequences of M letters, all of them are made and joined, which
+    meets hardly anything but pairs that are alike, whatever words are frequent. For other lengths: keys differ in at
+    most (1 - r) of their letters, so cut into one part more than that, the new key has a part that stands unchanged
+    in the old one, at nearly the same place; pairs that share one and can't have M letters in common go at once.
     """
     of = F.when(F.col("kind") == "person", L.ALIKE["person"]).otherwise(L.ALIKE["company"])
     some = keys.where(F.col("kind").isin(*L.OWNERS) & (F.length("key") > 0)).withColumn("least", of).withColumn("n", F.length("key"))
     # the longer of two keys that are alike is at most 2 / r - 1 times as long
     some = some.withColumn("slack", (1 - F.col("least")) * 2 / F.col("least"))
+    some = cut(some)
+    lengths_of = some.select("kind", "least", "n").distinct()
+    met = lengths_of.join(lengths_of.select("kind", F.col("n").alias("m")), "kind")
+    met = met.withColumn("common", F.ceil(F.col("least") * (F.col("n") + F.col("m")) / 2 - 1e-9).cast("int")).where("common <= least(n, m)")
+    met = cut(met.withColumn("by_variants", (choices("n", "common") <= VARIANTS) & (choices("m", "common") <= VARIANTS)))
+    to_make = met.where("by_variants").select("kind", "n", "common").union(met.where("by_variants").select("kind", F.col("m").alias("n"), "common")).distinct()
+    dealt = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # what a key gives is much more than the key
+    made = some.select("case_id", "kind", "key", "first", "documented", "n").repartition(dealt, "key").join(F.broadcast(to_make), ["kind", "n"]).mapInPandas(_shorter, "case_id string, kind string, key string, first long, documented boolean, common int, short string")
+    made = made.select(F.xxhash64("case_id", "kind", "common", "short").alias("named"), "case_id", "kind", "key", "first", "documented").repartition("named")
+    here = Window.partitionBy("named")
+    several = cut(made.withColumn("_n", F.count("*").over(here)).where("_n > 1"))
+    fresh = several.where("not documented").select("named", *BY, "key", "first")
+    short = fresh.join(several.select("named", *BY, F.col("key").alias("old"), F.col("first").alias("since")), ["named", *BY]).where("since < first").select(*BY, "key", "old", "since").distinct()
+    # lengths whose subsequences would be too many
+    others = met.where("not by_variants")
+    rest = some.join(F.broadcast(others.select("kind", "n").union(others.select("kind", F.col("m").alias("n"))).distinct()), ["kind", "n"], "left_semi")
+    pairs = _by_parts(rest).withColumns({"n": F.length("key"), "m": F.length("old")}).join(F.broadcast(others.drop("least", "by_variants")), ["kind", "n", "m"])
+    pairs = pairs.where(F.levenshtein("key", "old") <= F.col("n") + F.col("m") - 2 * F.col("common")).select(*BY, "key", "old", "since").distinct()
+    pairs = short.unionByName(pairs).withColumn("least", of)
+    ends = (F.substring("key", 1, 1) == F.substring("old", 1, 1)) | (F.expr("right(key, 1)") == F.expr("right(old, 1)"))
+    pairs = pairs.where(ends)
+    return pairs.where(alike("key", "old", "least")).groupBy(*BY, "key").agg(F.min_by("old", "since").alias("parent"))
+
+
+def _by_parts(some: DataFrame) -> DataFrame:
+    """case_id, kind, key, old, since: an earlier key that holds a part of a key at nearly its place; pairs may come several times."""
     parts = lambda n: f"cast(floor(slack * ({n})) + 1 as int)"
     begin = lambda i, n: f"cast(floor({i} * ({n}) / {parts(n)}) as int)"
     new = some.where("not documented").selectExpr("case_id", "kind", "key", "first", "n", "least", "slack", f"explode(transform(sequence(0, {parts('n')} - 1), i -> struct({begin('i', 'n')} as at, substring(key, {begin('i', 'n')} + 1, {begin('(i + 1)', 'n')} - {begin('i', 'n')}) as part))) as p")
@@ -55,8 +103,7 @@ def spellings(keys: DataFrame) -> DataFrame:
     old = old.selectExpr("case_id", "kind", "old", "since", "m", "size", "explode(sequence(0, m - size)) as there").withColumn("part", F.expr("substring(old, there + 1, size)"))
     near = (F.col("since") < F.col("first")) & (F.abs(F.col("at") - F.col("there")) <= F.floor(F.col("slack") * F.greatest("n", "m"))) & (2 * F.least("n", "m") >= F.col("least") * (F.col("n") + F.col("m")) - 1e-9)
     ends = (F.substring("key", 1, 1) == F.substring("old", 1, 1)) | (F.expr("right(key, 1)") == F.expr("right(old, 1)"))
-    pairs = new.join(old, [*BY, "part"]).where(near & ends).select(*BY, "key", "old", "since", "least").distinct()
-    return pairs.where(alike("key", "old", "least")).groupBy(*BY, "key").agg(F.min_by("old", "since").alias("parent"))
+    return new.join(old, [*BY, "part"]).where(near & ends).select(*BY, "key", "old", "since")
 
 
 def _roots(keys: DataFrame, parents: DataFrame, cut) -> DataFrame:
@@ -81,7 +128,7 @@ def resolve(mentions: DataFrame, cut=lambda df: df) -> Resolved:
     has_doc = F.col("doc").isNotNull()
     numbered = F.concat_ws(":", "kind", "doc.kind", "doc.key")
     keys = cut(named.groupBy(*BY, "key").agg(F.min("ord").alias("first"), F.min_by(has_doc, "ord").alias("documented"), F.min_by("label", "ord").alias("label")))
-    keys = cut(_roots(keys, spellings(keys), cut))
+    keys = cut(_roots(keys, spellings(keys, cut), cut))
     at = named.join(keys.select(*BY, "key", "root"), [*BY, "key"])
     docs = at.where(has_doc).withColumn("number", numbered)
     first_doc = cut(docs.groupBy(*BY, "root").agg(F.min_by("number", "ord").alias("of")))
@@ -119,18 +166,21 @@ def alike_names(keys: DataFrame) -> DataFrame:
     """case_id, a, b, reason: a name whose words are all among another's; persons with equal first and last words, organisations with two words or more.
 
     Only a key that made an entity of its own, without a document, is held against earlier ones. The
-    side with fewer words looks for one of them, the rarest of its case, so common words pair nothing.
+    side with fewer words looks for its two rarest of its case together (and a person for the first and the
+    last word, too), so common words pair nothing.
     """
     k = keys.where(F.col("kind").isin(*L.OWNERS)).withColumn("words", F.array_distinct(F.split("key", " "))).withColumn("words", F.array_remove("words", ""))
     k = k.where(F.size("words") > 0).select(*BY, "key", "first", "words", "id", (F.col("key") == F.col("root")) & ~F.col("documented"))
     k = k.toDF(*BY, "key", "first", "words", "id", "fresh")
     each = k.select(*BY, "key", F.explode("words").alias("word"))
-    rarest = each.join(each.groupBy(*BY, "word").count(), [*BY, "word"]).groupBy(*BY, "key").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
-    few = k.join(rarest, [*BY, "key"]).select(*BY, "word", *[F.col(c).alias(f"{c}_a") for c in ("key", "first", "words", "id", "fresh")])
-    many = k.select(*BY, F.explode("words").alias("word"), *[F.col(c).alias(f"{c}_b") for c in ("key", "first", "words", "id", "fresh")])
-    pairs = few.join(many, [*BY, "word"]).where("key_a <> key_b").where(F.size(F.array_except("words_a", "words_b")) == 0).where("if(first_a < first_b, fresh_b, fresh_a)")
-    last = lambda c: F.element_at(F.split(c, " +"), -1)
-    first = lambda c: F.split(c, " +")[0]
-    fits = F.when(F.col("kind") == "person", (first("key_a") == first("key_b")) & (last("key_a") == last("key_b"))).otherwise((F.size(F.split("key_a", " +")) > 1) & (F.size(F.split("key_b", " +")) > 1))
+    person = F.col("kind") == "person"
+    ends = F.when(person, F.concat_ws(" ", F.split("key", " +")[0], F.element_at(F.split("key", " +"), -1))).otherwise("")
+    rarest = each.join(each.groupBy(*BY, "word").count(), [*BY, "word"]).groupBy(*BY, "key").agg(F.array_sort(F.collect_list(F.struct("count", "word"))).alias("ranked"))
+    rarest = rarest.select(*BY, "key", F.array_join(F.array_sort(F.transform(F.slice("ranked", 1, 2), lambda x: x["word"])), " ").alias("word"))
+    two = lambda w: F.concat(w, F.flatten(F.transform(F.array_sort(w), lambda x: F.transform(F.filter(w, lambda y: y > x), lambda y: F.concat_ws(" ", x, y)))))
+    k = k.withColumn("ends", ends).where(person | (F.size(F.split("key", " +")) > 1))
+    few = k.join(rarest, [*BY, "key"]).select(*BY, "ends", "word", *[F.col(c).alias(f"{c}_a") for c in ("key", "first", "words", "id", "fresh")])
+    many = k.select(*BY, "ends", F.explode(two(F.col("words"))).alias("word"), *[F.col(c).alias(f"{c}_b") for c in ("key", "first", "words", "id", "fresh")])
+    pairs = few.join(many, [*BY, "ends", "word"]).where("key_a <> key_b").where(F.size(F.array_except("words_a", "words_b")) == 0).where("if(first_a < first_b, fresh_b, fresh_a)")
     reason = F.when(F.col("kind") == "person", "same first and last name").otherwise("one name holds the other")
-    return pairs.where(fits).select("case_id", F.col("id_a").alias("a"), F.col("id_b").alias("b"), reason.alias("reason"))
+    return pairs.select("case_id", F.col("id_a").alias("a"), F.col("id_b").alias("b"), reason.alias("reason"))

@@ -41,3 +41,30 @@ def test_parties_send_only_ties_through_components(spark, monkeypatch):
     partners = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "z")], "person string, company string")
     assert {(r.node, r.parties) for r in signals.independent_parties(owned, partners).collect()} == {("x", 3), ("y", 2)}  # p with a and b, q, c; p, q
     assert seen == [2]
+
+
+def test_names_of_frequent_words_meet_only_their_like(spark, monkeypatch):
+    from knotwork.cases import resolving
+
+    seen, by_parts = [], resolving._by_parts
+    monkeypatch.setattr(resolving, "_by_parts", lambda some: (seen.append(some.count()), by_parts(some))[1])
+    words = ("brax", "clem", "dosk", "fint")
+    names = [f"{a}brax {b}clem gulp{c}" for a in words for b in words for c in words]  # all share parts of five letters
+    odd = ["braxbrax braxclem gulpbrix", "a" + "bcdefghij" * 8, "a" + "bcdefghij" * 7 + "bcdefghix"]
+    keys = spark.createDataFrame([("c", "company", k, i, False) for i, k in enumerate([*names, *odd])], "case_id string, kind string, key string, first long, documented boolean")
+    got = {r.key: r.parent for r in resolving.spellings(keys).collect()}
+    every = [*names, *odd]
+    like = lambda new, old: resolving.SequenceMatcher(None, new, old).ratio() >= 0.92 and (new[0] == old[0] or new[-1] == old[-1])
+    want = {new: next(old for old in every[:i] if like(new, old)) for i, new in enumerate(every) if any(like(new, old) for old in every[:i])}
+    assert got == want and len(want) >= 2
+    assert seen == [2]  # only the two long names, whose subsequences are too many, look for parts in common
+
+
+def test_suggestions_look_for_two_words_together(spark):
+    from knotwork.cases import resolving
+
+    rows = [("company", f"common frequent w{i}") for i in range(40)] + [("company", "frequent w7"), ("company", "w7"), ("company", "w9 common"), ("person", "ana maria lima"), ("person", "ana lima"), ("person", "lima ana"), ("person", "ana costa lima")]
+    keys = spark.createDataFrame([("c", kind, k, i, False, k, k) for i, (kind, k) in enumerate(rows)], "case_id string, kind string, key string, first long, documented boolean, root string, id string")
+    got = {frozenset((r.a, r.b)) for r in resolving.alike_names(keys).collect()}
+    want = {frozenset(p) for p in (("frequent w7", "common frequent w7"), ("w9 common", "common frequent w9"), ("ana lima", "ana maria lima"), ("ana lima", "ana costa lima"))}
+    assert got == want
