@@ -68,3 +68,21 @@ def test_suggestions_look_for_two_words_together(spark):
     got = {frozenset((r.a, r.b)) for r in resolving.alike_names(keys).collect()}
     want = {frozenset(p) for p in (("frequent w7", "common frequent w7"), ("w9 common", "common frequent w9"), ("ana lima", "ana maria lima"), ("ana lima", "ana costa lima"))}
     assert got == want
+
+
+def test_rounds_join_edges_where_they_are(spark):
+    edges = spark.createDataFrame([(f"n{i % 40}", f"n{i * 7 % 40}", 1 + i % 3) for i in range(400)], "src string, dst string, weight int")
+    kept = graph.kept_by(edges, "dst")
+    joined = kept.join(graph._shuffled(kept.select("dst").distinct().withColumn("label", graph.F.length("dst"))), "dst")
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 400 and "BroadcastHashJoin" not in plan and "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def test_cheapest_path_of_known_costs_and_links_of_one_source_each(spark, monkeypatch):
+    links = spark.createDataFrame([("a", "b", 3, "x", "s2"), ("a", "b", 3, "x", "s1"), ("c", "b", 2, "y", None), ("c", "b", 2, "y", "s9"), ("a", "c", 1, "z", "s3")], "de string, para string, weight int, label string, source string")
+    edges = graph.adjacency(links)
+    costs = graph.path_costs(edges, "a")
+    monkeypatch.setattr(graph, "path_costs", None)
+    rows = graph.cheapest_path(edges, links.select("de", "para", "weight", "label", graph.F.array("source").alias("sources")), "a", "c", costs).collect()
+    assert [tuple(r) for r in rows] == [(0, "a", "b", 3, "x", "s1"), (1, "b", "c", 2, "y", "s9")]
