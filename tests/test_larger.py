@@ -86,3 +86,44 @@ def test_cheapest_path_of_known_costs_and_links_of_one_source_each(spark, monkey
     monkeypatch.setattr(graph, "path_costs", None)
     rows = graph.cheapest_path(edges, links.select("de", "para", "weight", "label", graph.F.array("source").alias("sources")), "a", "c", costs).collect()
     assert [tuple(r) for r in rows] == [(0, "a", "b", 3, "x", "s1"), (1, "b", "c", 2, "y", "s9")]
+
+
+def test_betweenness_of_many_blocks_and_slices(spark, monkeypatch):
+    import random
+    from collections import deque
+
+    r = random.Random(8)
+    pairs = {tuple(sorted((f"n{r.randrange(60):02}", f"n{r.randrange(60):02}"))) for _ in range(110)} | {("hub", f"n{i:02}") for i in range(0, 60, 3)} | {(f"t{i}", f"t{i + 1}") for i in range(9)}
+    near = {}
+    for a, b in sorted(p for p in pairs if p[0] != p[1]):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    n = len(near)
+    picks = {x.node for x in spark.createDataFrame([(v,) for v in near], "node string").where(graph.F.pmod(graph.F.xxhash64("node"), graph.F.lit(-(-n // 20))) == 0).collect()}
+    want = dict.fromkeys(near, 0.0)
+    for s in picks:
+        far, paths, order, queue = {s: 0}, {s: 1}, [], deque([s])
+        while queue:
+            order.append(v := queue.popleft())
+            for w in near[v]:
+                if w not in far:
+                    far[w], paths[w] = far[v] + 1, 0
+                    queue.append(w)
+                if far[w] == far[v] + 1:
+                    paths[w] += paths[v]
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order[1:]):
+            for v in near[w]:
+                if far[v] == far[w] - 1:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+            want[w] += share[w] * n / len(picks) / ((n - 1) * (n - 2))
+    for name, value in (("NODES", 16), ("CELLS", 48), ("PIECE", 20), ("AT_ONCE", 7)):
+        monkeypatch.setattr(graph, name, value)
+    kept, cut = graph.checkpointed, []
+    monkeypatch.setattr(graph, "checkpointed", lambda df: (out := kept(df), cut.append(out))[0])
+    links = spark.createDataFrame([(a, b, 1) for a, b in sorted(pairs)], "de string, para string, weight int")
+    got = {x.node: x.betweenness for x in graph.betweenness(links, most=20, exact=10).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    assert not any("paths" in df.columns for df in cut)  # a row a source and node met a row an edge before
+    levels = [df for df in cut if "slice" in df.columns]
+    assert max(x.block for df in levels for x in df.collect()) >= 4 and max(x.slice for df in levels for x in df.collect()) >= 2
