@@ -127,3 +127,12 @@ def test_betweenness_of_many_blocks_and_slices(spark, monkeypatch):
     assert not any("paths" in df.columns for df in cut)  # a row a source and node met a row an edge before
     levels = [df for df in cut if "slice" in df.columns]
     assert max(x.block for df in levels for x in df.collect()) >= 4 and max(x.slice for df in levels for x in df.collect()) >= 2
+
+
+def test_bridges_look_at_the_neighbours_of_the_best_alone(spark, monkeypatch):
+    monkeypatch.setattr(graph, "adjacency", None)  # every link was made a neighbour before
+    links = spark.createDataFrame([("a", "b", 3), ("b", "a", 2), ("a", "a", 1), ("c", "a", 1), ("d", "b", 2), ("e", "d", 1)], "de string, para string, weight int")
+    central = spark.createDataFrame([("a", 0.5), ("b", 0.4), ("d", 0.1), ("c", 0.0)], "node string, betweenness double")
+    groups = spark.createDataFrame([(n, g) for n, g in zip("abcde", "aacaa")], "node string, community string")
+    got = graph.bridges(central, groups, links, top=2)
+    assert got.columns == ["node", "betweenness", "communities"] and [tuple(r) for r in got.collect()] == [("a", 0.5, 2)]
