@@ -63,9 +63,10 @@ def sentences(c: Column, keep_parentheses: bool = True) -> Column:
     start = r"(?<![\p{L}\p{N}_])"
     c = F.replace(c, F.lit("\r"), F.lit(""))
     shortened = F.regexp_replace(F.regexp_replace(c, start + r"S\.\s?A\.?", "SA."), rf"{start}({SHORT_FORMS})\.", "$1")
-    # most texts hold no short form, which one plain look tells
-    c = F.when(c.rlike(rf"S\.\s?A|(?:{SHORT_FORMS})\."), shortened).otherwise(c)
-    flat = F.translate(F.when(F.contains(c, F.lit("\n\n")), F.regexp_replace(c, "\n{2,}", "\x01")).otherwise(c), "\n", " ")
+    # most texts hold no short form, which one look at their dots tells
+    c = F.when(c.rlike(rf"\.(?<=(?:{SHORT_FORMS})\.|S\.(?=\s?A))"), shortened).otherwise(c)
+    # c stands here once: a column that a condition names too is worked out again for each place
+    flat = F.replace(F.regexp_replace(c, "\n{2,}", "\x01"), F.lit("\n"), F.lit(" "))
     start = "[A-ZÀ-Ú\"“]|(?<!(?:Ltda|LTDA|SA|S/A|ME|EPP|EIRELI|Eireli)\\. {1,9})\\(" if keep_parentheses else "[A-ZÀ-Ú\"“(]"
     marked = F.regexp_replace(flat, rf"([.!?])\s+({start})", "$1\x01$2")
     return F.filter(F.transform(F.split(marked, "\x01", -1), lambda s: F.trim(s)), lambda s: s != "")

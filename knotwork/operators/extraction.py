@@ -23,6 +23,17 @@ PATTERNS = {
     "company": rf"\b{_CAP}(?: (?:(?:{_LINK}|&) )?{_CAP}){{0,5}} (?:Ltda|LTDA|S\.?A|S/A|ME|EPP|EIRELI|Eireli)\b\.?",
     "person": rf"\b{_CAP}(?: (?:{_LINK} )?{_CAP}){{1,4}}",
 }
+#: What a match can't be without, one of them: a pattern whose words a sentence doesn't hold isn't tried on it.
+NEEDED = {
+    "company_number": ("/",),
+    "person_number": ("-",),
+    "email": ("@",),
+    "phone": ("-", "(", "+55"),
+    "address": ("Rua ", "Avenida ", "Av ", "Av. ", "Travessa ", "Alameda ", "Praça ", "Rodovia ", "Estrada "),
+    "consortium": ("Consórcio ",),
+    "company": (" Ltda", " LTDA", " S.A", " SA", " S/A", " ME", " EPP", " EIRELI", " Eireli"),
+    "person": (" ",),
+}
 #: Words cut off the start of a name, and first words no person's name has.
 LEADING = frozenset("O A Os As Um Uma Em No Na Segundo Para".split())
 NO_PERSON = frozenset("Ministério Secretaria Prefeitura Governo Tribunal Polícia Banco Universidade Rio São Santa Grupo Consórcio Rua Avenida".split())
@@ -53,8 +64,11 @@ def find(s: str, words: re.Pattern | None, kinds: dict[str, str], compiled: dict
         if kind == "email" and words:  # the caller's dictionary goes right after documents
             for m in list(words.finditer(s)):
                 take(m, kinds[m.group().lower()], True)
-        for m in list(pattern.finditer(s)):
-            take(m, kind, kind != "person")
+        for word in NEEDED[kind]:
+            if word in s:
+                for m in list(pattern.finditer(s)):
+                    take(m, kind, kind != "person")
+                break
     return sorted(out)
 
 

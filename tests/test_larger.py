@@ -136,3 +136,34 @@ def test_bridges_look_at_the_neighbours_of_the_best_alone(spark, monkeypatch):
     groups = spark.createDataFrame([(n, g) for n, g in zip("abcde", "aacaa")], "node string, community string")
     got = graph.bridges(central, groups, links, top=2)
     assert got.columns == ["node", "betweenness", "communities"] and [tuple(r) for r in got.collect()] == [("a", 0.5, 2)]
+
+
+def test_sentences_look_for_short_forms_once(spark):
+    from knotwork.functions import scalars
+
+    df = spark.createDataFrame([("Na Av. A.\n\n\nO Dr. B. Fim",)], "t string").select(scalars.sentences(graph.F.col("t")).alias("s"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1  # it stood in each branch of a condition before
+    assert df.first().s == ["Na Av A.", "O Dr B.", "Fim"]
+
+
+def test_patterns_are_tried_only_where_they_may_match():
+    import re
+
+    from knotwork.operators import extraction
+
+    tried = []
+
+    class Told:
+        def __init__(self, kind, pattern):
+            self.kind, self.pattern = kind, re.compile(pattern)
+
+        def finditer(self, s):
+            tried.append(self.kind)
+            return self.pattern.finditer(s)
+
+    told = {k: Told(k, p) for k, p in extraction.PATTERNS.items()}
+    assert [m[2:4] for m in extraction.find("Ana Lima mora na Rua Onze, 5", None, {}, told)] == [("person", "Ana Lima"), ("address", "Rua Onze, 5")]
+    assert tried == ["address", "person"]  # all eight before
+    every = "A Via Sul S/A, a Onda EPP e o Consórcio Norte: ana@x.co, (11) 91234-5678, 12.345.678/0001-90, 123.456.789-01, Av. Um."
+    assert {m[2] for m in extraction.find(every, None, {}, told)} >= {"company", "consortium", "email", "phone", "company_number", "person_number", "address"}
