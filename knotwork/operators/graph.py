@@ -172,17 +172,83 @@ def common_partners(links: DataFrame, label: str = "partner") -> DataFrame:
     return _pivot(links.where(F.col("label") == label).select(F.col("de").alias("node"), F.col("para").alias("owner"), "weight"))
 
 
+#: Pairs that are added up at once in a task of overlap().
+PAIRS = 1 << 21
+
+
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each owner of a key but its last: owner, the owners after it (ids) and the lesser weight of both (least), packed. near: the key's (id, weight), sorted."""
+    for b in batches:
+        lists = b.column("near")
+        fields, ends, rows, held = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy()), [], 0
+        ids, weights = (fields.field(i).to_numpy().astype(np.int32) for i in (0, 1))
+        for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends):
+            for i in range(lo, hi - 1):
+                rows.append((int(ids[i]), ids[i + 1 : hi].tobytes(), np.minimum(weights[i], weights[i + 1 : hi]).tobytes()))
+                held += hi - 1 - i
+            if held > PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["owner", "ids", "least"])
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["owner", "ids", "least"])
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, common, weight), each pair once, sorted."""
+    pair, common, weight = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(pair)
+    pair = pair[order]
+    begin = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    return pair[begin], np.add.reduceat(common[order], begin), np.add.reduceat(weight[order], begin)
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x, y, common, weight of _tails() in the order of owner: owners are added up as they end, and one with very many pairs in between."""
+    parts, held = [], 0
+
+    def told(pair, common, weight):
+        for at in range(0, len(pair), OUT):
+            cut = slice(at, at + OUT)
+            yield pa.RecordBatch.from_arrays([pa.array((pair[cut] >> 32).astype(np.int32)), pa.array((pair[cut] & 0xFFFFFFFF).astype(np.int32)), pa.array(common[cut]), pa.array(weight[cut])], ["x", "y", "common", "weight"])
+
+    for b in batches:
+        for owner, ids, least in zip(*[b.column(c).to_pylist() for c in ("owner", "ids", "least")]):
+            ids = np.frombuffer(ids, np.int32)
+            parts.append(((np.int64(owner) << 32) | ids.astype(np.int64), np.ones(len(ids), np.int64), np.frombuffer(least, np.int32).astype(np.int64)))
+            held += len(ids)
+            if held > PAIRS:
+                pair, common, weight = _added(parts)
+                last = np.searchsorted(pair, np.int64(owner) << 32)  # this owner may go on
+                yield from told(pair[:last], common[:last], weight[:last])
+                parts, held = [(pair[last:], common[last:], weight[last:])], 0
+    if parts:
+        yield from told(*_added(parts))
+
+
 def overlap(links: DataFrame, owner: str, shared: str, least: int = 2) -> DataFrame:
     """Owner pairs with ``least`` shared neighbours or more: a, b, common, weight, jaccard (unrounded).
 
-    Neighbours of one owner alone are dropped before pairs are made.
+    An owner meets the owners after it of every neighbour, packed in a row, and its pairs are added up where they
+    come together: what is shuffled is a number and a weight a pair and neighbour, and a task holds about PAIRS of them.
+    Neighbours of more than BLOCK owners are paired in blocks.
     """
+    from .ordered import ordinals
+
     near = checkpointed(links.where((kind("de") == owner) & (kind("para") == shared)).groupBy("de", "para").agg(F.max("weight").alias("weight")))
-    size = near.groupBy("de").agg(F.count("*").alias("size"))
-    each = block_pairs(near.select("para", F.col("de").alias("node"), "weight"), ["para"])
-    pairs = each.groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("common"), F.sum(F.least("weight_x", "weight_y")).alias("weight")).where(F.col("common") >= least)
-    both = pairs.join(size.toDF("a", "sa"), "a").join(size.toDF("b", "sb"), "b")
-    return both.select("a", "b", "common", "weight", (F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))).alias("jaccard"))
+    size = checkpointed(ordinals(near.groupBy("de").agg(F.count("*").alias("size")), ["de"], "id").withColumn("id", F.col("id").cast("int")))
+    rows = checkpointed(near.join(size, "de").select("para", F.col("id").alias("node"), "weight"))
+    frequent = checkpointed(rows.groupBy("para").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("para"))
+    lists = rows.join(frequent, "para", "left_anti").groupBy("para").agg(F.array_sort(F.collect_list(F.struct("node", "weight"))).alias("near")).where("size(near) > 1").select("near")
+    tails = lists.mapInArrow(_tails, "owner int, ids binary, least binary")
+    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = tails.repartition(n, "owner").sortWithinPartitions("owner").mapInArrow(_pair_sums, "x int, y int, common long, weight long")
+    if frequent.limit(1).count():
+        each = block_pairs(rows.join(frequent, "para", "left_semi"), ["para"])
+        pairs = pairs.union(each.groupBy(F.col("node_x").alias("x"), F.col("node_y").alias("y")).agg(F.count("*").alias("common"), F.sum(F.least("weight_x", "weight_y")).alias("weight")))
+        pairs = pairs.groupBy("x", "y").agg(F.sum("common").alias("common"), F.sum("weight").alias("weight"))
+    of = lambda c: size.select(F.col("id").alias(c), F.col("de").alias(f"{c}_name"), F.col("size").alias(f"{c}_size"))
+    both = pairs.where(F.col("common") >= least).join(of("x"), "x").join(of("y"), "y")
+    return both.select(F.col("x_name").alias("a"), F.col("y_name").alias("b"), "common", "weight", (F.col("common") / (F.col("x_size") + F.col("y_size") - F.col("common"))).alias("jaccard"))
 
 
 def dense_identifiers(links: DataFrame, least: int = 4) -> DataFrame:

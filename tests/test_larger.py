@@ -167,3 +167,36 @@ def test_patterns_are_tried_only_where_they_may_match():
     assert tried == ["address", "person"]  # all eight before
     every = "A Via Sul S/A, a Onda EPP e o Consórcio Norte: ana@x.co, (11) 91234-5678, 12.345.678/0001-90, 123.456.789-01, Av. Um."
     assert {m[2] for m in extraction.find(every, None, {}, told)} >= {"company", "consortium", "email", "phone", "company_number", "person_number", "address"}
+
+
+def test_overlap_adds_pairs_up_where_they_meet(spark, monkeypatch):
+    import random
+
+    r = random.Random(6)
+    monkeypatch.setattr(graph, "BLOCK", 9)
+    monkeypatch.setattr(graph, "PAIRS", 25)
+    monkeypatch.setattr(graph, "OUT", 7)
+    rows = [(f"company:{r.randrange(30)}", f"part:{r.randrange(12)}", r.randint(1, 3)) for _ in range(90)] + [(f"company:{i}", "part:all", 1 + i % 3) for i in range(30)] + [("person:1", "part:1", 3), ("company:1", "address:1", 3)]
+    best = {}
+    for a, k, w in rows:
+        if a[0] == "c" and k[0] == "p":
+            best[a, k] = max(w, best.get((a, k), 0))
+    near = {}
+    for (a, k), w in best.items():
+        near.setdefault(a, {})[k] = w
+    want = {}
+    for a, b in combinations(sorted(near), 2):
+        both = near[a].keys() & near[b].keys()
+        if len(both) >= 2:
+            want[a, b] = (len(both), sum(min(near[a][k], near[b][k]) for k in both), len(both) / len(near[a].keys() | near[b].keys()))
+    links = spark.createDataFrame(rows, "de string, para string, weight int")
+    df = graph.overlap(links, "company", "part")
+    got = df.collect()
+    assert df.dtypes == [("a", "string"), ("b", "string"), ("common", "bigint"), ("weight", "bigint"), ("jaccard", "double")]
+    assert len(got) == len(want) > 20 and all(want[x.a, x.b][:2] == (x.common, x.weight) and abs(want[x.a, x.b][2] - x.jaccard) < 1e-12 for x in got)
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    few = graph.overlap(links.where("para <> 'part:all'"), "company", "part")
+    few.collect()
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and "sum(weight" not in plan  # a row for each pair and neighbour went through a join and an aggregate before
+    assert graph.overlap(links.where("false"), "company", "part").count() == 0
