@@ -53,6 +53,8 @@ def phone(local: Column) -> Column:
 
 #: Titles and short forms whose dot ends no sentence.
 SHORT_FORMS = "Av|Dr|Dra|Sr|Sra|Prof|Profa|Cia|Ltd|Exmo|Exma"
+#: Holds for every text with a dot that a split takes away, found at the dots alone.
+HAS_SHORT_FORM = rf"\.(?<=(?:{SHORT_FORMS})\.|S\.(?=\s?A))"
 
 
 def sentences(c: Column, keep_parentheses: bool = True) -> Column:
@@ -64,7 +66,7 @@ def sentences(c: Column, keep_parentheses: bool = True) -> Column:
     c = F.replace(c, F.lit("\r"), F.lit(""))
     shortened = F.regexp_replace(F.regexp_replace(c, start + r"S\.\s?A\.?", "SA."), rf"{start}({SHORT_FORMS})\.", "$1")
     # most texts hold no short form, which one look at their dots tells
-    c = F.when(c.rlike(rf"\.(?<=(?:{SHORT_FORMS})\.|S\.(?=\s?A))"), shortened).otherwise(c)
+    c = F.when(c.rlike(HAS_SHORT_FORM), shortened).otherwise(c)
     # c stands here once: a column that a condition names too is worked out again for each place
     flat = F.replace(F.regexp_replace(c, "\n{2,}", "\x01"), F.lit("\n"), F.lit(" "))
     start = "[A-ZÀ-Ú\"“]|(?<!(?:Ltda|LTDA|SA|S/A|ME|EPP|EIRELI|Eireli)\\. {1,9})\\(" if keep_parentheses else "[A-ZÀ-Ú\"“(]"
