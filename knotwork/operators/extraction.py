@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -47,6 +47,22 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(cut).alias("sent", "s")).where("trim(s) <> ''")
 
 
+#: Signs of a mention, wider than PATTERNS: a number's digits, or two words of which both begin with a capital (streets and legal forms do, too).
+_DIGIT = r"[0-9\x80-\x{10FFFF}]"
+_NUMBER = rf"(?s){_DIGIT}(?:{_DIGIT}{{3}}.?{_DIGIT}{{4}}|/{_DIGIT}{{4}}-|\.{_DIGIT}{{3}}-)"
+_NAME = r"[A-ZÀ-Ú][A-Za-z0-9_&'\-\x80-\x{10FFFF}]*[ \n](?:(?:d[aeo]s?|e|&)[ \n])?[A-ZÀ-Ú]"
+
+
+def may_name(s: Column) -> Column:
+    """Whether a sentence, or a text with one, holds a sign of a mention; none without one has any of PATTERNS. Dots and carriage returns that a split takes away count as signs."""
+    return F.contains(s, F.lit("@")) | F.contains(s, F.lit("\r")) | s.rlike(_NUMBER) | s.rlike(_NAME) | s.rlike(scalars.HAS_SHORT_FORM)
+
+
+def telling_sentences(docs: DataFrame) -> DataFrame:
+    """sentences() without those that can't name anything; most texts aren't even split."""
+    return sentences(docs.where(may_name(F.col("text")))).where(may_name(F.col("s")))
+
+
 def find(s: str, words: re.Pattern | None, kinds: dict[str, str], compiled: dict) -> list[tuple]:
     """(pos, end, kind, text, high) in one sentence; what an earlier kind took is blanked with as many spaces."""
     out = []

@@ -174,7 +174,7 @@ def _(spark, sf):
 
 
 def _mentions(spark, sf):
-    sents = extraction.sentences(table(spark, sf, "documents").select("doc_id", "text"))
+    sents = graph.checkpointed(extraction.telling_sentences(table(spark, sf, "documents").select("doc_id", "text")))  # few are left
     return sents, graph.checkpointed(extraction.mentions(sents))  # read by several branches
 
 

@@ -38,3 +38,13 @@ def test_entities_and_suggestions(spark):
     known = extraction.entities(found)
     assert {(r.id, r.sources, r.review) for r in known.collect()} == {("person:rui barros lima", 1, True), ("person:rui lima", 2, False), ("person:rui sousa lima", 1, True)}
     assert {(r.a, r.b) for r in extraction.merge_suggestions(known).collect()} == {("person:rui barros lima", "person:rui lima"), ("person:rui lima", "person:rui sousa lima")}
+
+
+def test_only_telling_sentences_are_searched(spark):
+    """What can't name anything is dropped before it is split; no mention is lost by it."""
+    said = ["nada aqui. Nem ali.", "a b c", "ligue (31) 98765-4321 ja", "cpf 123.456.789-09", "cnpj 12.345.678/0001-95", "٠٠ ١٢٣.٤٥٦.٧٨٩-٠٩", "ver Av. Brasil", "o Dr. Rui foi", "a Rua\nFlores, 12", "x@y.co", "É A", "Ana e Bia", "D'Ávila de O-x", "Olmo S. A. veio", "Ro\rsa Ma\rria", "Casa Um & Dois ME.", "Gil. Eva"]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    rows = lambda sents: sorted((r.doc_id, r.sent, r.pos, r.kind, r.text) for r in extraction.mentions(sents).collect())
+    few = extraction.telling_sentences(docs)
+    assert rows(few) == rows(extraction.sentences(docs)) and len(rows(few)) > 10
+    assert not {0, 1, 16} & {r.doc_id for r in few.collect()}
