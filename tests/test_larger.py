@@ -200,3 +200,29 @@ def test_overlap_adds_pairs_up_where_they_meet(spark, monkeypatch):
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") >= 2 and "sum(weight" not in plan  # a row for each pair and neighbour went through a join and an aggregate before
     assert graph.overlap(links.where("false"), "company", "part").count() == 0
+
+
+def _files(spark, tmp_path, monkeypatch, rows, columns):
+    """rows as Parquet of two pieces, of which a task takes few bytes."""
+    monkeypatch.setattr(graph, "TASK", 200)
+    spark.createDataFrame(rows, columns).coalesce(2).write.parquet(f"{tmp_path}/t")
+    return spark.read.parquet(f"{tmp_path}/t")
+
+
+def test_exits_are_dealt_to_more_tasks_as_files_grow(spark, tmp_path, monkeypatch):
+    from knotwork.operators import signals
+
+    rows = [(f"p{i % 90}", f"c{i % 7}", 2, "partner") for i in range(300)] + [(f"c{i % 7}", f"p{i}", 3, "ex-partner") for i in range(0, 90, 4)]
+    links = _files(spark, tmp_path, monkeypatch, rows, "de string, para string, weight int, label string")
+    df = signals.exits(links, "ex-", "partner")
+    both = {tuple(sorted(r[:2])) for r in rows[:300]} & {tuple(sorted(r[:2])) for r in rows[300:]}
+    assert {(r.a, r.b) for r in df.collect()} == both and both
+    assert df.rdd.getNumPartitions() == graph.tasks(links) > 4  # as many as the session's before, whatever the input
+
+
+def test_lines_meet_orders_in_more_tasks_as_files_grow(spark, tmp_path, monkeypatch):
+    from knotwork.sources import tables
+
+    lines = _files(spark, tmp_path, monkeypatch, [(i % 40, i) for i in range(400)], "l_orderkey long, l_partkey long")
+    df = tables.of_orders(lines, spark.createDataFrame([(i,) for i in range(0, 40, 2)], "o_orderkey long").hint("merge"))
+    assert df.count() == 200 and df.rdd.getNumPartitions() == graph.tasks(lines) > 4
