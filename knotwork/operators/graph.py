@@ -300,7 +300,8 @@ def timing(partners: DataFrame, events: DataFrame, window: int = 180) -> DataFra
 
 def conflicting_years(links: DataFrame) -> DataFrame:
     """Links of class 2 or 3 whose evidence falls in two years or more."""
-    grouped = links.where("weight > 1 and day is not null").groupBy("de", "para", "weight", "label")
+    keys = ["de", "para", "weight", "label"]
+    grouped = spread(links.where("weight > 1 and day is not null").select(*keys, "day"), tasks(links), *keys).groupBy(*keys)
     return grouped.agg(F.countDistinct(F.year("day")).alias("years"), F.min(F.year("day")).cast("long").alias("first_year"), F.max(F.year("day")).cast("long").alias("last_year")).where("years >= 2")
 
 

@@ -226,3 +226,16 @@ def test_lines_meet_orders_in_more_tasks_as_files_grow(spark, tmp_path, monkeypa
     lines = _files(spark, tmp_path, monkeypatch, [(i % 40, i) for i in range(400)], "l_orderkey long, l_partkey long")
     df = tables.of_orders(lines, spark.createDataFrame([(i,) for i in range(0, 40, 2)], "o_orderkey long").hint("merge"))
     assert df.count() == 200 and df.rdd.getNumPartitions() == graph.tasks(lines) > 4
+
+
+def test_years_are_counted_in_more_tasks_as_files_grow(spark, tmp_path, monkeypatch):
+    import datetime
+
+    rows = [(f"p{i % 90}", f"c{i % 7}", 2, "partner", datetime.date(2000 + i // 100 % (1 + i % 3), 1, 1)) for i in range(700)]
+    links = _files(spark, tmp_path, monkeypatch, rows, "de string, para string, weight int, label string, day date")
+    seen = {}
+    for de, para, _, _, day in rows:
+        seen.setdefault((de, para), set()).add(day.year)
+    df = graph.conflicting_years(links)
+    assert {(r.de, r.para): (r.years, r.first_year, r.last_year) for r in df.collect()} == {k: (len(y), min(y), max(y)) for k, y in seen.items() if len(y) > 1}
+    assert df.rdd.getNumPartitions() == graph.tasks(links) > 4
