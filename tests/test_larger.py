@@ -239,3 +239,20 @@ def test_years_are_counted_in_more_tasks_as_files_grow(spark, tmp_path, monkeypa
     df = graph.conflicting_years(links)
     assert {(r.de, r.para): (r.years, r.first_year, r.last_year) for r in df.collect()} == {k: (len(y), min(y), max(y)) for k, y in seen.items() if len(y) > 1}
     assert df.rdd.getNumPartitions() == graph.tasks(links) > 4
+
+
+def test_edges_are_sorted_once_in_as_many_tasks_as_files_ask_for(spark, tmp_path, monkeypatch):
+    from knotwork.operators import export
+
+    rows = [(f"p{i % 30}", f"c{i % 7}", 2, "partner", (None, "b", "a", "c")[i // 210 % 4], None) for i in range(700)] + [("p1", "x", 1, None, None, None)] * 3
+    links = _files(spark, tmp_path, monkeypatch, rows, "de string, para string, weight int, label string, source string, day date")
+    seen = {}
+    for r in rows:
+        seen.setdefault(r[:4], []).append(r[4])
+    want = {k: (len(s), "|".join(sorted({x for x in s if x}))) for k, s in seen.items()}
+    df = export.edges(links)
+    assert {tuple(r[:4]): (r.n, r.sources) for r in df.collect()} == want
+    assert df.rdd.getNumPartitions() == graph.tasks(links) > 4 and "ObjectHashAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    placed = sorted(export.numbered_edges(links).collect(), key=lambda r: r.ordinal)
+    assert [r.ordinal for r in placed] == list(range(len(want)))
+    assert [tuple(r[:4]) for r in placed] == sorted(want, key=lambda k: (*k[:3], k[3] or ""))
