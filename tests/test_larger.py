@@ -256,3 +256,12 @@ def test_edges_are_sorted_once_in_as_many_tasks_as_files_ask_for(spark, tmp_path
     placed = sorted(export.numbered_edges(links).collect(), key=lambda r: r.ordinal)
     assert [r.ordinal for r in placed] == list(range(len(want)))
     assert [tuple(r[:4]) for r in placed] == sorted(want, key=lambda k: (*k[:3], k[3] or ""))
+
+
+def test_graphml_takes_its_nodes_from_its_edges(spark, monkeypatch):
+    from knotwork.operators import export
+
+    monkeypatch.setattr(export, "nodes", None)  # links were read and joined again for them before
+    links = spark.createDataFrame([("person:1", "company:2", 2, "x", "s", None), ("company:2", "company:2", 2, "x", "s", None)], "de string, para string, weight int, label string, source string, day date")
+    lines = [r.line for r in export.graphml(links).collect()]
+    assert sorted(x for x in lines if x.startswith("<node")) == [f'<node id="{n}"><data key="kind">{n[:-2]}</data></node>' for n in ("company:2", "person:1")] and len(lines) == 4
