@@ -265,3 +265,14 @@ def test_graphml_takes_its_nodes_from_its_edges(spark, monkeypatch):
     links = spark.createDataFrame([("person:1", "company:2", 2, "x", "s", None), ("company:2", "company:2", 2, "x", "s", None)], "de string, para string, weight int, label string, source string, day date")
     lines = [r.line for r in export.graphml(links).collect()]
     assert sorted(x for x in lines if x.startswith("<node")) == [f'<node id="{n}"><data key="kind">{n[:-2]}</data></node>' for n in ("company:2", "person:1")] and len(lines) == 4
+
+
+def test_exchange_writes_the_links_of_a_node_next_to_each_other(spark):
+    import json
+
+    from knotwork.operators import export
+
+    links = spark.createDataFrame([(f"person:{i % 20}", f"company:{i}", 2, "x", "s", None) for i in range(600)], "de string, para string, weight int, label string, source string, day date")
+    of = [json.loads(r.object)["source_ref"] for r in export.exchange(links).collect() if r.type == "relationship"]
+    changes = sum(a != b for a, b in zip(of, of[1:]))
+    assert len(of) == 600 and len(set(of)) == 20 and changes < 20 + 4  # a run for each node and partition at most 80 before
