@@ -276,3 +276,20 @@ def test_exchange_writes_the_links_of_a_node_next_to_each_other(spark):
     of = [json.loads(r.object)["source_ref"] for r in export.exchange(links).collect() if r.type == "relationship"]
     changes = sum(a != b for a, b in zip(of, of[1:]))
     assert len(of) == 600 and len(set(of)) == 20 and changes < 20 + 4  # a run for each node and partition at most 80 before
+
+
+def test_bundle_keeps_no_texts_of_objects(spark, monkeypatch):
+    from knotwork.operators import export
+
+    kept, cut = export.checkpointed, []
+    monkeypatch.setattr(export, "checkpointed", lambda df: (cut.append(df.columns), kept(df))[1])
+    links = spark.createDataFrame([(f"person:{i % 20}", f"company:{i}", 2, "x", "s", None) for i in range(300)] + [("company:1", "address:1", 3, "y", "s", None)], "de string, para string, weight int, label string, source string, day date")
+    objects = {r.id: r.object for r in export.exchange(links).collect()}
+    rows = export.bundle(export.unwritten(links), "t", "c", export.written).collect()
+    assert cut and not any("object" in c for c in cut)
+    ids = sorted(objects)
+    assert [r.line.lstrip(",").strip('"') for r in sorted(rows, key=lambda r: r.place) if r.part == 1] == ids
+    assert [r.line for r in sorted(rows, key=lambda r: r.place) if r.part == 3] == ["," + objects[i] for i in ids]
+    odd = ["", "x", "a--", "a--b", "a--bcd--e", "a-", "a", "a--bce", "aa--b", "é--1"]
+    plain = export.bundle(spark.createDataFrame([(i, "{}") for i in odd], "id string, object string"), "t", "c").collect()
+    assert [r.line.lstrip(",").strip('"') for r in sorted(plain, key=lambda r: r.place) if r.part == 1] == sorted(odd, key=str.encode)
