@@ -18,13 +18,14 @@ CUES = {
 KIN = r"(?i)(irm[ãa]o?|filh[oa]|m[ãa]e|pai|espos[oa]|marido|prim[oa]|ti[oa]|cunhad[oa]|genro|nora|sobrinh[oa]) d[aeo]s? *$"
 
 
-def relations(sents: DataFrame, found: DataFrame, most: int = 8) -> DataFrame:
+def relations(sents: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, sent, de, para, weight, label; each unordered pair of a sentence keeps its strongest link.
 
     kin: the nearest person before a kinship noun that ends right before a person. partner: a
     person and a company each nearest to the other, or one to the other, with a cue. integra:
     companies by consortia, with a cue. Identifiers go to the nearest owner before them, else
-    after. co-citation: other pairs of sentences with at most ``most`` entities.
+    after. co-citation: all other pairs of a sentence but two identifiers. However many entities a
+    sentence has, all are linked; a sentence has LONGEST characters at most, and so few pairs.
     """
     first = Window.partitionBy("doc_id", "sent", "id").orderBy("pos")
     m = found.where(~F.col("kind").endswith("_number")).withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
@@ -38,7 +39,6 @@ def relations(sents: DataFrame, found: DataFrame, most: int = 8) -> DataFrame:
 
     side = lambda kind, name: m.where(F.col("kind") == kind).select(*here, F.col("id").alias(name), F.col("pos").alias(f"{name}_at"))
     pairs = side("person", "de").join(side("company", "para"), here).join(cues.where("partner").select(*here), here).withColumn("far", F.abs(F.col("de_at") - F.col("para_at")))
-    pairs = pairs.withColumn("n", F.count("*").over(Window.partitionBy(*here))).where("n <= 12")
     rank = lambda one, other: F.row_number().over(Window.partitionBy(*here, one).orderBy("far", other))
     partner = pairs.withColumn("x", rank("de", "para_at")).withColumn("y", rank("para", "de_at")).where("x = 1 or y = 1").select(*here, "de", "para", F.lit(2), F.lit("partner"))
 
@@ -49,9 +49,8 @@ def relations(sents: DataFrame, found: DataFrame, most: int = 8) -> DataFrame:
     cued = F.when(F.col("kind") == "phone", F.col("phone")).when(F.col("kind") == "email", F.col("email")).otherwise(F.col("address"))
     held = held.where(F.col("kind").isin(*IDENTIFIERS)).join(cues, here).where(cued).select(*here, F.coalesce("was", "next").alias("de"), F.col("id").alias("para"), F.lit(2), F.col("kind")).where("de is not null")
 
-    few = m.withColumn("n", F.count("*").over(Window.partitionBy(*here))).where(F.col("n").between(2, most))
-    few = few.select(*here, "id", "pos", F.col("kind").isin(*IDENTIFIERS).alias("thing"))
-    near = few.toDF(*here, "de", "p", "t").join(few.toDF(*here, "para", "q", "u"), here).where("(p < q or p = q and de < para) and not (t and u)").select(*here, "de", "para", F.lit(1), F.lit("co-citation"))
+    named = m.select(*here, "id", "pos", F.col("kind").isin(*IDENTIFIERS).alias("thing"))
+    near = named.toDF(*here, "de", "p", "t").join(named.toDF(*here, "para", "q", "u"), here).where("(p < q or p = q and de < para) and not (t and u)").select(*here, "de", "para", F.lit(1), F.lit("co-citation"))
 
     every = kin.union(partner).union(member).union(held).union(near).where("de <> para")
     strongest = Window.partitionBy(*here, F.least("de", "para"), F.greatest("de", "para")).orderBy(F.desc("weight"), "label", "de")
