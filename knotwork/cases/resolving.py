@@ -10,14 +10,18 @@ the result doesn't depend on partitions.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 from itertools import combinations
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from ..operators.ordered import placed
 from . import lexicon as L
 from .reading import PHASE
 
@@ -46,47 +50,142 @@ def choices(of: str, among: str) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda acc, i: F.when(i == 0, acc).otherwise(acc * (F.col(of) - i + 1) / i))
 
 
-def _shorter(frames):
-    """Every subsequence of ``common`` letters of a key, each once."""
-    for f in frames:
-        for at in range(0, len(f), 64):  # a key has VARIANTS at most
-            some = f.iloc[at : at + 64]
-            short = [sorted({"".join(c) for c in combinations(k, n)}) for k, n in zip(some["key"], some["common"])]
-            yield some.assign(short=short).explode("short")[["case_id", "kind", "key", "first", "documented", "common", "short"]]
+#: Variants of keys that a bucket of _meetings() holds, that a task keeps before it sends them on, and that are made at once.
+BUCKET, HELD, MADE = 1 << 22, 1 << 21, 1 << 18
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@lru_cache(256)
+def _dropped(n: int, common: int) -> np.ndarray:
+    """The places before, at and after which letters go: a row for each choice of n - common places, from -1 to n."""
+    some = list(combinations(range(n), n - common))
+    return np.pad(np.array(some, dtype=np.int64).reshape(len(some), n - common), ((0, 0), (1, 1)), constant_values=((0, 0), (-1, n)))
+
+
+def _hashed(keys: list[str], seeds: np.ndarray, common: int) -> np.ndarray:
+    """A row for each key, all of one length: a hash of every subsequence of ``common`` letters; equal ones have equal hashes."""
+    n = len(keys[0])
+    letters = _mixed(np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32).reshape(len(keys), n).astype(np.uint64) + np.uint64(1))
+    power = np.concatenate([[np.uint64(1)], np.full(n, _FACTOR)]).cumprod(dtype=np.uint64)
+    upto = np.zeros((len(keys), n + 1), np.uint64)
+    for i in range(n):
+        upto[:, i + 1] = upto[:, i] * _FACTOR + letters[:, i]
+    cut = _dropped(n, common)
+    out = np.zeros((len(keys), len(cut)), np.uint64)
+    for t in range(n - common + 1):  # the letters between one place and the next
+        begin, end = cut[:, t] + 1, cut[:, t + 1]
+        out += (upto[:, end] - upto[:, begin] * power[end - begin]) * power[common - (end - t)]
+    return _mixed(out ^ seeds[:, None])
+
+
+def _variants(buckets: int):
+    """Of rows (id, seed, key, n, common): a row for each bucket of hashes, with the hashes' low halves and whose they are, packed."""
+
+    def run(batches):
+        held, count = [], 0
+
+        def told():
+            hashes, ids = (np.concatenate(c) for c in zip(*held))
+            at = (hashes >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(at, kind="stable")
+            hashes, ids, at = hashes[order].astype(np.uint32), ids[order], at[order]
+            begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            cells = [(int(at[lo]), hashes[lo:hi].tobytes(), ids[lo:hi].tobytes()) for lo, hi in zip(begin, [*begin[1:], len(at)])]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "hashes", "ids"])
+
+        for b in batches:
+            keys, ids, seeds = b.column("key").to_pylist(), b.column("id").to_numpy().astype(np.uint32), b.column("seed").to_numpy().view(np.uint64)
+            size, common = b.column("n").to_numpy(), b.column("common").to_numpy()
+            order = np.lexsort((common, size))
+            ends = np.flatnonzero((np.diff(size[order]) != 0) | (np.diff(common[order]) != 0)) + 1
+            for some in np.split(order, ends):
+                if not len(some):
+                    continue
+                n, m = int(size[some[0]]), int(common[some[0]])
+                step = max(1, MADE // len(_dropped(n, m)))
+                for lo in range(0, len(some), step):
+                    part = some[lo : lo + step]
+                    hashes = _hashed([keys[i] for i in part], seeds[part], m)
+                    held.append((hashes.ravel(), np.repeat(ids[part], hashes.shape[1])))
+                    count += hashes.size
+                    if count > HELD:
+                        yield told()
+                        held, count = [], 0
+        if held:
+            yield told()
+
+    return run
+
+
+def _meetings(batches):
+    """Of one bucket: a, b (a < b), each pair of keys that have a hash in common."""
+    hashes, ids = [], []
+    for b in batches:
+        hashes += [np.frombuffer(x, np.uint32) for x in b.column("hashes").to_pylist()]
+        ids += [np.frombuffer(x, np.uint32) for x in b.column("ids").to_pylist()]
+    if not hashes:
+        return
+    both = (np.concatenate(hashes).astype(np.uint64) << np.uint64(32)) | np.concatenate(ids)
+    del hashes, ids
+    both.sort()
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])]  # a key may have one subsequence several ways
+    at, step = np.arange(len(both)), 0
+    while True:  # each with the next of its hash, then with the one after that
+        step += 1
+        at = at[at + step < len(both)]
+        at = at[(both[at] ^ both[at + step]) >> np.uint64(32) == 0]
+        if not len(at):
+            return
+        low = np.uint64(0xFFFFFFFF)
+        pairs = np.unique(((both[at] & low) << np.uint64(32)) | (both[at + step] & low))
+        for lo in range(0, len(pairs), HELD):
+            some = pairs[lo : lo + HELD]
+            yield pa.RecordBatch.from_arrays([pa.array((some >> np.uint64(32)).astype(np.int64)), pa.array((some & low).astype(np.int64))], ["a", "b"])
 
 
 def spellings(keys: DataFrame, cut=lambda df: df) -> DataFrame:
     """case_id, kind, key, parent: the earliest earlier key that is spelled almost alike, for keys without a document at first.
 
     Two keys of n and m letters that are alike to a share r have a common subsequence of M = ceil(r (n + m) / 2)
-    letters. Where neither has more than VARIANTS subsequences of M letters, all of them are made and joined, which
-    meets hardly anything but pairs that are alike, whatever words are frequent. For other lengths: keys differ in at
+    letters. Where neither has more than VARIANTS subsequences of M letters, hashes of all of them are made, packed, and
+    sorted in buckets, which meets hardly anything but pairs that are alike, whatever words are frequent. For other lengths: keys differ in at
     most (1 - r) of their letters, so cut into one part more than that, the new key has a part that stands unchanged
     in the old one, at nearly the same place; pairs that share one and can't have M letters in common go at once.
     """
-    of = F.when(F.col("kind") == "person", L.ALIKE["person"]).otherwise(L.ALIKE["company"])
-    some = keys.where(F.col("kind").isin(*L.OWNERS) & (F.length("key") > 0)).withColumn("least", of).withColumn("n", F.length("key"))
+    likeness = F.when(F.col("kind") == "person", L.ALIKE["person"]).otherwise(L.ALIKE["company"])
+    some = keys.where(F.col("kind").isin(*L.OWNERS) & (F.length("key") > 0)).withColumn("least", likeness).withColumn("n", F.length("key"))
     # the longer of two keys that are alike is at most 2 / r - 1 times as long
     some = some.withColumn("slack", (1 - F.col("least")) * 2 / F.col("least"))
-    some = cut(some)
-    lengths_of = some.select("kind", "least", "n").distinct()
+    some = cut(placed(some, "id"))
+    sizes = some.groupBy("kind", "least", "n").agg(F.count("*").alias("keys"))
+    lengths_of = sizes.drop("keys")
     met = lengths_of.join(lengths_of.select("kind", F.col("n").alias("m")), "kind")
     met = met.withColumn("common", F.ceil(F.col("least") * (F.col("n") + F.col("m")) / 2 - 1e-9).cast("int")).where("common <= least(n, m)")
     met = cut(met.withColumn("by_variants", (choices("n", "common") <= VARIANTS) & (choices("m", "common") <= VARIANTS)))
     to_make = met.where("by_variants").select("kind", "n", "common").union(met.where("by_variants").select("kind", F.col("m").alias("n"), "common")).distinct()
     dealt = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # what a key gives is much more than the key
-    made = some.select("case_id", "kind", "key", "first", "documented", "n").repartition(dealt, "key").join(F.broadcast(to_make), ["kind", "n"]).mapInPandas(_shorter, "case_id string, kind string, key string, first long, documented boolean, common int, short string")
-    made = made.select(F.xxhash64("case_id", "kind", "common", "short").alias("named"), "case_id", "kind", "key", "first", "documented").repartition("named")
-    here = Window.partitionBy("named")
-    several = cut(made.withColumn("_n", F.count("*").over(here)).where("_n > 1"))
-    fresh = several.where("not documented").select("named", *BY, "key", "first")
-    short = fresh.join(several.select("named", *BY, F.col("key").alias("old"), F.col("first").alias("since")), ["named", *BY]).where("since < first").select(*BY, "key", "old", "since").distinct()
+    total = sizes.join(to_make, ["kind", "n"]).agg(F.sum(F.col("keys") * choices("n", "common"))).first()[0] or 0
+    buckets = max(dealt, int(-(-total // BUCKET)))
+    asked = some.select("case_id", "kind", "id", "key", "n").repartition(dealt, "id").join(F.broadcast(to_make), ["kind", "n"])
+    made = asked.select("id", F.xxhash64("case_id", "kind", "common").alias("seed"), "key", "n", "common").mapInArrow(_variants(buckets), "bucket int, hashes binary, ids binary")
+    pairs = made.repartitionById(buckets, "bucket").mapInArrow(_meetings, "a long, b long").distinct()
+    of = lambda c: some.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in (*BY, "key", "first", "documented")])
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").where("case_id_a <=> case_id_b and kind_a = kind_b")
+    later = lambda x: F.when(F.col("first_a") < F.col("first_b"), F.col(f"{x}_b")).otherwise(F.col(f"{x}_a"))
+    short = pairs.where("first_a <> first_b").where(~later("documented"))
+    short = short.select(F.col("case_id_a").alias("case_id"), F.col("kind_a").alias("kind"), later("key").alias("key"), F.when(F.col("first_a") < F.col("first_b"), F.col("key_a")).otherwise(F.col("key_b")).alias("old"), F.least("first_a", "first_b").alias("since"))
     # lengths whose subsequences would be too many
     others = met.where("not by_variants")
     rest = some.join(F.broadcast(others.select("kind", "n").union(others.select("kind", F.col("m").alias("n"))).distinct()), ["kind", "n"], "left_semi")
     pairs = _by_parts(rest).withColumns({"n": F.length("key"), "m": F.length("old")}).join(F.broadcast(others.drop("least", "by_variants")), ["kind", "n", "m"])
     pairs = pairs.where(F.levenshtein("key", "old") <= F.col("n") + F.col("m") - 2 * F.col("common")).select(*BY, "key", "old", "since").distinct()
-    pairs = short.unionByName(pairs).withColumn("least", of)
+    pairs = short.unionByName(pairs).withColumn("least", likeness)
     ends = (F.substring("key", 1, 1) == F.substring("old", 1, 1)) | (F.expr("right(key, 1)") == F.expr("right(old, 1)"))
     pairs = pairs.where(ends)
     return pairs.where(alike("key", "old", "least")).groupBy(*BY, "key").agg(F.min_by("old", "since").alias("parent"))
